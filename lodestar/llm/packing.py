@@ -24,7 +24,8 @@ from .common import discard, written
 from .units import shared_library_encoder, slices
 
 GROUPS = 48
-LARGE = 1 / 8
+#: Shares of the capacity above which a length counts as large; the plan with the fewest sequences wins.
+LARGE = (1 / 4, 2 / 5, 1 / 2)
 BUCKET_ROWS = 100_000
 
 
@@ -84,6 +85,11 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 
 
 def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> list[Run]:
+    """The best of the plans for each bound of LARGE."""
+    return min((plan_for(histogram, capacity, share, groups) for share in LARGE), key=lambda runs: sum(r.count for r in runs))
+
+
+def plan_for(histogram: dict[int, int], capacity: int, share: float, groups: int) -> list[Run]:
     """Runs of sequences that hold every piece of the histogram once."""
     left = {s: n for s, n in histogram.items() if n > 0 and s > 0}
     rank: dict[int, int] = defaultdict(int)
@@ -104,7 +110,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> list
 
     if left.get(capacity):
         put(open_run(left[capacity]), capacity)
-    large = sorted(s for s in left if capacity * LARGE < s < capacity)
+    large = sorted(s for s in left if capacity * share < s < capacity)
     total = sum(left[s] for s in large)
     if total:
         # groups of equal cardinality: bounds are the maxima; a length belongs to the first bound >= it
