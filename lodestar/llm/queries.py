@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe_automaton, html_text, ivfpq, langid, line_spread, minhash, packing, rabitq, suffix_dedup, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,23 +19,67 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def url_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: its text without markup, its declared language, its host and address suffix."""
+    model = langid.fit(table(spark, sf_dir, "documents"), "text", "lang")
+    pages = table(spark, sf_dir, "pages")
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&#?\w+;?", " ")
+    declared = F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    host = url_host(F.col("url"))
+    return langid.identify(pages, model, ["page_id", "url"], plain, declared, host, F.regexp_extract(host, r"\.([a-z]+)$", 1))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept", "kept_text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
+def op4_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_files import read_token_files, write_token_files
+    return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
 
-    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0))
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed")
+
+
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe_automaton import bpe_round_trip
+    return bpe_automaton.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
 
-    return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_best_fit_packing, op6_token_files, op10_bpe_automaton)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_suffix_dedup, op3_best_fit_packing, op4_ivfpq_search, op5_minhash_near_dedup, op6_token_files,
+        op7_embedding_near_dedup, op8_line_spread, op9_html_main_text, op10_bpe_automaton, pipeline,
+    )
+}
+SQL: dict[str, str] = {"op8_line_spread": line_spread.SQL}
