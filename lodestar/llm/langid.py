@@ -158,7 +158,8 @@ def identify(
         total = F.aggregate(n, F.lit(0.0), lambda a, b: a + b)
         return F.transform(F.arrays_zip(n.alias("n"), parent.alias("q")), lambda z: (z["n"] + PRIOR_ROWS * z["q"]) / (total + PRIOR_ROWS))
 
-    total = soft.agg(*sums).select(F.transform(vector, lambda v: F.coalesce(v, F.lit(0.0))).alias("all_n"))
+    counts = soft.agg(*sums).first()  # one number for each language
+    everything = F.array(*[F.lit(float(v or 0)) for v in counts])
     flat = F.array(*[F.lit(1.0 / len(languages))] * len(languages))
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     soft = soft.withColumn("domain", F.when(domain != "", domain).otherwise(F.col("host")))
@@ -166,17 +167,16 @@ def identify(
     joined = soft
     for by in ("declared", "suffix", "domain", "host"):
         joined = joined.join(counted(by), by, "left")
-    joined = joined.crossJoin(F.broadcast(total))  # one row
     zero = F.array(*[F.lit(0.0)] * len(languages))
     n = lambda by: F.coalesce(F.col(f"{by}_n"), zero)
     mine = F.when(F.col("odd"), zero).otherwise(F.col("p"))
     less = lambda a, b: F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.greatest(z["a"] - z["b"], F.lit(0.0)))
-    prior = toward(F.col("all_n"), flat)
+    prior = toward(everything, flat)
     prior = F.when(F.col("suffix_n").isNull(), prior).otherwise(toward(less(n("suffix"), mine), prior))
     prior = F.when(F.col("domain_n").isNull(), prior).otherwise(toward(less(n("domain"), mine), prior))
     with_domain = joined.withColumn("parent", prior)
     prior = F.when(F.col("host_n").isNull(), F.col("parent")).otherwise(toward(less(n("host"), mine), F.col("parent")))
-    told = F.transform(F.arrays_zip(less(n("declared"), mine).alias("a"), F.col("all_n").alias("b")), lambda z: F.log((z["a"] + UNSEEN) / (z["b"] + UNSEEN * 10)))
+    told = F.transform(F.arrays_zip(less(n("declared"), mine).alias("a"), everything.alias("b")), lambda z: F.log((z["a"] + UNSEEN) / (z["b"] + UNSEEN * 10)))
     told = F.when(F.col("declared_n").isNull(), zero).otherwise(told)
     fused = with_domain.withColumn("prior", prior).withColumn(
         "fused", F.transform(F.arrays_zip(F.col("ll"), F.col("prior"), told.alias("told")), lambda z: z["ll"] + F.log(F.greatest(z["prior"], F.lit(1e-6))) + z["told"])

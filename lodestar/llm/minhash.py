@@ -6,8 +6,10 @@ Bands of ROWS bins give buckets. Documents with equal shingle sets are one class
 
 In each bucket every member is paired with one centre only, so a bucket of n gives n - 1 pairs.
 Pairs are confirmed on the full sets. Bands choose different centres, and a bucket whose
-members aren't in one component yet gets another turn, with its best-linked member as centre
-and then, per component in it, one centre, until no new pair comes up.
+members aren't in one component yet gets further turns with HEADS of its best-linked members as
+centres, until these find no more links. What two documents have in common beyond such a hub is
+rare, so they also share buckets that few others are in: buckets of up to SMALL_BUCKET members are
+settled by all their open pairs. Every turn thus makes a number of pairs in proportion to the members.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .common import components, discard, is_empty, written
 WORDS, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 SLICE_BYTES = 4 << 20
-#: A mixed bucket of up to so many members is settled by all its open pairs at once, a constant number.
-SMALL_BUCKET = 48
+#: A mixed bucket of up to so many members is settled by all its open pairs at once, a constant number for each.
+SMALL_BUCKET, HEADS = 8, 3
 
 _u64 = np.uint64
 
@@ -171,16 +173,15 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
-    sized = pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    sized = written(sized.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")), "pairs")
+    sized = pairs
     wanted = sized.select(F.col("a").alias("id")).unionAll(sized.select(F.col("b").alias("id"))).distinct()
     sets = written(_sets(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
     both = sized.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
     common = F.size(F.array_intersect("ha", "hb"))
-    out = written(both.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
-    discard(sized, sets)
+    out = written(both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
+    discard(sets)
     return out
 
 
@@ -188,6 +189,12 @@ def _pair(x: str, y: str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _best() -> Column:
+    """(id, n, component) of the best-linked member in each of HEADS hash classes of a bucket."""
+    row = F.struct("degree", "id", "n", "component")
+    return F.array_compact(F.array(*[F.max(F.when(F.pmod(F.xxhash64("id"), F.lit(HEADS)) == i, row)) for i in range(HEADS)]))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for each row of docs.
 
@@ -201,47 +208,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = feats.where("n > 0 and id is not null")
     classes = live.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     reps = written(live.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "reps")
-    slots = reps.select("id", F.explode("bands").alias("key"))
+    slots = reps.select("id", "n", F.explode("bands").alias("key"))
+    alike = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes that allow the similarity
     # the centre differs from band to band: the least hash of (id, key)
-    centres = slots.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id").alias("c"))).alias("low")).where("m > 1")
-    members = written(slots.join(centres.select("key", "m", F.col("low.c").alias("c")), "key"), "buckets")
-    tried = written(members.where("id <> c").select(*_pair("id", "c")).distinct(), "tried")
-    links = _confirmed(tried, base, reps)
-    turn = 0
+    centres = slots.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id").alias("c"), F.col("n").alias("nc"))).alias("low")).where("m > 1")
+    members = written(slots.join(centres.select("key", "m", "low.c", "low.nc"), "key"), "buckets")
+    tried = written(members.where((F.col("id") != F.col("c")) & alike("n", "nc")).select(*_pair("id", "c")).distinct(), "tried")
+    links, joined, turn = _confirmed(tried, base), None, 0
     while True:
         joined = written(components(links), "turn") if not is_empty(links) else None
-        now = members.select("key", "m", "id")
+        now = members.select("key", "m", "id", "n")
         now = now.join(joined.select(F.col("node").alias("id"), "component"), "id", "left") if joined is not None else now.withColumn("component", F.lit(None).cast("long"))
         now = now.withColumn("component", F.coalesce("component", "id"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_now = written(now.join(mixed, "key"), "open")
         degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-        ranked = open_now.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        ranked = written(now.join(mixed, "key").join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
+        large = ranked.where(F.col("m") > SMALL_BUCKET)
+        heads = large.groupBy("key").agg(_best().alias("top"))
+        heads = heads.select("key", F.explode("top").alias("h")).select("key", F.col("h.id").alias("c"), F.col("h.n").alias("nc"), F.col("h.component").alias("cc"))
+        pairs = large.join(heads, "key").where((F.col("component") != F.col("cc")) & alike("n", "nc")).select(*_pair("id", "c"))
         if turn == 0:
-            # the best-linked member of each mixed bucket against all members
-            heads = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("x"), F.col("component").alias("cc"))).alias("top"))
-            heads = heads.select("key", (-F.col("top.x")).alias("c"), F.col("top.cc").alias("cc"))
-            fresh = ranked.join(heads, "key").where("component <> cc").select(*_pair("id", "c"))
-        else:
-            # small buckets: all pairs across components; others: the best-linked member of each component against the rest
             small = ranked.where(F.col("m") <= SMALL_BUCKET)
-            left, right = small.select("key", F.col("id").alias("x"), F.col("component").alias("cx")), small.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-            few = left.join(right, "key").where("cx < cy").select(*_pair("x", "y"))
-            heads = ranked.where(F.col("m") > SMALL_BUCKET).groupBy("key", "component").agg(F.max(F.struct("degree", (-F.col("id")).alias("x"))).alias("top"))
-            heads = heads.select("key", (-F.col("top.x")).alias("c"), F.col("component").alias("cc"))
-            many = ranked.where(F.col("m") > SMALL_BUCKET).join(heads, "key").where("component <> cc").select(*_pair("id", "c"))
-            fresh = few.unionAll(many)
-        new = written(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        if is_empty(new):
-            if turn > 0:
-                break
-            turn += 1
-            continue
-        found = _confirmed(new, base, reps)
-        turn += 1
-        if is_empty(found) and turn > 1:
+            left, right = (small.select("key", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "xy")
+            pairs = pairs.unionAll(left.join(right, "key").where((F.col("cx") < F.col("cy")) & alike("nx", "ny")).select(*_pair("x", "y")))
+        new = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        discard(ranked)
+        found = None if is_empty(new) else _confirmed(new, base)
+        if found is None or is_empty(found):
             break
-        tried, links = written(tried.unionAll(new), "tried"), written(links.unionAll(found), "links")
+        tried, links, turn = written(tried.unionAll(new), "tried"), written(links.unionAll(found), "links"), turn + 1
     names = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left") if joined is not None else classes.withColumn("component", F.lit(None).cast("long"))
     names = names.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = feats.select("id", "n", "h1", "h2").join(names, ["n", "h1", "h2"], "left").withColumn("component", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")))
