@@ -5,6 +5,9 @@ list, the codes of its residual to the list's centre, and the vector for reranki
 visits its nearest lists; per list an asymmetric distance table scores the codes, the best
 RERANK rows of each block are measured exactly, and a query's best k over all blocks are kept.
 Large lists are dealt into blocks of BLOCK_ROWS rows, so no task holds a whole hot list.
+
+How many lists a query visits is measured, not guessed: for up to CALIBRATION queries the true
+neighbours among all rows are found in one pass, and enough lists are visited to hold TARGET of them.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from .common import written
 from .vectors import TRAIN_ROWS, kmeans, matrix, nearest, sample, valid_vectors
 
 MAX_LISTS = 1024
-PROBES = 24
+LEAST_PROBES = 8
+CALIBRATION, TARGET = 64, 0.97
 #: Lists are added to a query's until they hold so many rows, so that small tables are searched whole.
 LEAST_ROWS = 4_000
 RERANK = 128
@@ -57,13 +61,42 @@ def fit(train: np.ndarray, n_rows: int) -> Index:
     return Index(centres, [kmeans(residual[:, a:b], CODES) for a, b in cuts], cuts)
 
 
-def search(table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES) -> DataFrame:
+def _probes(coded: DataFrame, index: Index, k: int) -> int:
+    """Lists to visit, so that the sampled queries' true neighbours are in them with share TARGET."""
+    asked = coded.where("is_query").orderBy(F.xxhash64("id")).limit(CALIBRATION).select("id", "v").toPandas()
+    if not len(asked):
+        return LEAST_PROBES
+    ids, x = asked["id"].to_numpy(), matrix(asked["v"])
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[tuple[float, int, int]]] = [[] for _ in ids]
+        for f in frames:
+            own, lists, y = f["id"].to_numpy(), f["list"].to_numpy(), matrix(f["v"])
+            for i, (qid, v) in enumerate(zip(ids, x)):
+                d = ((y - v) ** 2).sum(1)
+                d[own == qid] = np.inf
+                few = np.argpartition(d, min(k, len(d)) - 1)[:k]
+                held[i] = sorted([*held[i], *((d[j], int(own[j]), int(lists[j])) for j in few if np.isfinite(d[j]))])[:k]
+        rows = [(i, *r) for i, h in enumerate(held) for r in h]
+        yield pd.DataFrame(rows, columns=["q", "d", "id", "list"])
+
+    found = coded.select("id", "list", "v").mapInPandas(near, "q int, d double, id bigint, list int")
+    order = Window.partitionBy("q").orderBy("d", "id")
+    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "list").toPandas()  # CALIBRATION * k rows
+    if not len(best):
+        return LEAST_PROBES
+    place = np.argsort(nearest(x, index.centres, len(index.centres)), axis=1)
+    ranks = np.sort(place[best["q"].to_numpy(), best["list"].to_numpy()])
+    return max(LEAST_PROBES, int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))) - 1)]) + 1)
+
+
+def search(table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found to each row where `queries` holds.
 
     Euclidean distance in double precision, ties to the smaller id; rows of the query's own id
     are no candidates. Vectors that are null, zero, or hold null or non-finite components take no
     part; those of another length than the first are an error. Repeated vectors are all
-    candidates. Fewer than k candidates give fewer rows; an empty table gives an empty result.
+    candidates. probes, if given, is the number of lists to visit. Fewer than k candidates give fewer rows; an empty table gives an empty result.
     """
     spark = table.sparkSession
     rows = valid_vectors(table.withColumn("is_query", F.coalesce(queries, F.lit(False))), id_col, vector_col, "is_query").where("id is not null")
@@ -85,6 +118,9 @@ def search(table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id
     blocks = {c: -(-m // BLOCK_ROWS) for c, m in sizes.items()}
     filled = np.array([sizes.get(c, 0) for c in range(len(index.value.centres))])
 
+    if probes is None:
+        probes = _probes(coded, index.value, k)
+
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
         for f in frames:
