@@ -100,10 +100,20 @@ class LanguageModel:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
     """Trained on up to per_language rows of each of the MAX_LANGUAGES most common labels."""
     rows = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    top = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    # by hash, so the same texts for the same table: twice as many as asked for are looked at, in one pass
+    parts = 1 << 30
+    mine = F.pmod(F.xxhash64("text"), F.lit(parts))
+    picked = F.lit(False)
+    for lang, n in top.items():
+        picked |= (F.col("lang") == lang) & (mine < int(min(1.0, 2 * per_language / n) * parts))
+    likely = rows.where(picked).dropDuplicates(["lang", "text"]).select("lang", "text", mine.alias("x")).limit(4 * per_language * max(1, len(top)))
     found: list[tuple[str, str]] = []
-    for lang in top:
-        found += [(r["text"], lang) for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("text")).limit(per_language).collect()]
+    left = dict.fromkeys(top, per_language)
+    for r in sorted(likely.collect(), key=lambda r: (r["x"], r["text"])):
+        if left[r["lang"]]:
+            left[r["lang"]] -= 1
+            found.append((r["text"], r["lang"]))
     return LanguageModel.train(found) if found else None
 
 
