@@ -17,6 +17,7 @@ KEPT_SINGLE = {"std", "core", "alloc", "crate", "self", "super"}
 INTERNAL = {"crate", "self", "super"}
 ITEM_WORDS = {"fn", "struct", "enum", "union", "trait", "impl", "mod", "use", "const", "static", "type", "extern", "unsafe", "async", "macro_rules", "auto", "safe", "default", "macro"}
 BINARY = ["<<=", ">>=", "..=", "...", "&&", "||", "==", "!=", "<=", ">=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<", ">>", "..", "+", "-", "*", "/", "%", "^", "&", "|", "=", "<", ">"]
+BINARY_STARTS = {op[0] for op in BINARY}
 RESERVED = {"as", "break", "const", "continue", "else", "enum", "extern", "fn", "for", "if", "impl", "in", "let", "loop", "match", "mod", "move", "mut", "pub", "ref", "return", "static", "struct", "trait", "type", "unsafe", "use", "where", "while", "async", "await", "dyn"}
 
 
@@ -45,6 +46,8 @@ class Parser:
     def __init__(self, text: str, crate: str):
         self.src, self.crate = Source(text), crate
         self.toks, self.i, self.glued = self.src.tokens, 0, set()
+        # the characters of punctuation and brackets by token, and room to look ahead
+        self.marks = [t.text if t.kind in ("punct", "open", "close") else "" for t in self.toks] + [""] * 8
         self.facts = Facts()
         self.mods: list[str] = []
         self.fn: str | None = None
@@ -80,12 +83,10 @@ class Parser:
     def at(self, op: str, k: int = 0) -> bool:
         """Whether the next tokens are the characters of op without space between them."""
         j = self.i + k
-        toks = self.toks
-        if j + len(op) > len(toks):
+        if self.marks[j] != op[0]:
             return False
-        for n, c in enumerate(op):
-            t = toks[j + n]
-            if t.text != c or t.kind in ("lit", "ident") or n and toks[j + n - 1].end != t.start:
+        for n in range(1, len(op)):
+            if self.marks[j + n] != op[n] or self.toks[j + n - 1].end != self.toks[j + n].start:
                 return False
         return True
 
@@ -1106,7 +1107,7 @@ class Parser:
             if self.word("as"):
                 self.type(bounds=False)
                 continue
-            op = next((o for o in BINARY if self.at(o)), None)
+            op = next((o for o in BINARY if self.at(o)), None) if self.marks[self.i] in BINARY_STARTS else None
             if op is None or self.at("=>"):
                 return
             self.eat(op)
