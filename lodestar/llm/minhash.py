@@ -173,12 +173,13 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, first: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full sets meet the threshold. The first turn's documents grow with the corpus: they're never broadcast."""
     sized = pairs
     wanted = sized.select(F.col("a").alias("id")).unionAll(sized.select(F.col("b").alias("id"))).distinct()
     sets = written(_sets(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
     both = sized.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+    wanted = wanted.hint("merge") if first else wanted
     common = F.size(F.array_intersect("ha", "hb"))
     out = written(both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
     discard(sets)
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = slots.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id").alias("c"), F.col("n").alias("nc"))).alias("low")).where("m > 1")
     members = written(slots.join(centres.select("key", "m", "low.c", "low.nc"), "key"), "buckets")
     tried = written(members.where((F.col("id") != F.col("c")) & alike("n", "nc")).select(*_pair("id", "c")).distinct(), "tried")
-    links, joined, turn = _confirmed(tried, base), None, 0
+    links, joined, turn = _confirmed(tried, base, first=True), None, 0
     while True:
         joined = written(components(links), "turn") if not is_empty(links) else None
         now = members.select("key", "m", "id", "n")
