@@ -276,9 +276,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 at = stop
 
     found = written(base.where(F.octet_length("text") >= length).mapInArrow(find, f"d {kind}, th bigint, p bigint, before short, least short, h bigint"), "anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join has an exchange on either side and a common hash's rows can be split
+    twice = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     per_doc = written(found.join(twice, "h", "left_semi").groupBy("d", "th").agg(F.collect_set(F.struct("p", "before", "least")).alias("at")), "candidates")
-    discard(found)
+    discard(found, twice)
     own = per_doc.withColumnsRenamed({"d": "d2", "th": "th2"})
     texts = base.join(own, base["d"].eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2"))).select("d", "th", "text", "at")
     total = per_doc.agg(F.sum(F.size("at"))).first()[0] or 0
