@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches, claim
 from .units import UnitEncoder, slices
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -191,6 +192,14 @@ class AutomatonEncoder:
 _shared: dict[str, AutomatonEncoder] = {}
 
 
+def shared_encoder(path: str) -> AutomatonEncoder:
+    """One automaton a worker and file, so that its tables outlive a task."""
+    claim("automaton", _shared.clear)
+    if path not in _shared:
+        _shared[path] = AutomatonEncoder(path)
+    return _shared[path]
+
+
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each whole text and decode it again: id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -200,9 +209,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _shared:
-            _shared[tokenizer_path] = AutomatonEncoder(tokenizer_path)
-        enc = _shared[tokenizer_path]
+        enc = shared_encoder(tokenizer_path)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 ids, ends = enc.encoder(texts)
@@ -215,4 +222,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(x), pa.array(y)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker; both hold a few at a time, outside the heap.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after making sure that its session sends long texts to Python in small batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, None)
+    if now is None or not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lodestar-{what}-{uuid.uuid4().hex}"
 
@@ -58,6 +76,25 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+_claimed: tuple[str, Callable[[], None]] | None = None
+
+
+def claim(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called by a Python worker as it starts a task of `owner`: frees what another operator kept there.
+
+    Workers are reused, so one operator's caches would otherwise stay while others run.
+    """
+    global _claimed
+    if _claimed is None or _claimed[0] != owner:
+        if _claimed is not None:
+            _claimed[1]()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _claimed = (owner, clear)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

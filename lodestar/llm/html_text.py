@@ -17,6 +17,8 @@ from math import sqrt
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches, claim
+
 # Element names of HTML and common names of page furniture.
 SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "textarea", "select", "button", "math", "audio", "video"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
@@ -198,9 +200,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pages")
         for batch in batches:
             texts = [extract(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"{id_col} {kind}, {url_col} string, text string, n_chars bigint")
+    return bounded_batches(pages).select(id_col, url_col, html_col).mapInArrow(run, f"{id_col} {kind}, {url_col} string, text string, n_chars bigint")

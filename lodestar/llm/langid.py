@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, claim, written
 
 SAMPLE_PER_LANGUAGE = 400
 MAX_LANGUAGES = 64
@@ -33,7 +33,7 @@ PRIOR_ROWS, UNSEEN = 10.0, 1.0
 LEAST_POSTERIOR, LEAST_TRIGRAMS, WAY = 0.5, 40, 0.7
 RANDOM = -float(np.log(BUCKETS))
 WORDS = re.compile(r"[^\W\d_]+")
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def identify(
     """
     languages = model.languages if model else []
     none = F.lit(None).cast("string")
-    base = docs.select(
+    base = bounded_batches(docs).select(
         F.struct(*id_cols).alias("key"),
         text.alias("text"),
         F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})\b", 1)).alias("declared") if declared is not None else none.alias("declared"),
@@ -142,6 +142,7 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("languages")
         m = shared.value
         for batch in batches:
             score, n = m.score(batch.column(1).to_pylist())

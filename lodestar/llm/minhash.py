@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, is_empty, written
+from .common import bounded_batches, claim, components, discard, is_empty, written
 
 WORDS, PERCENT = 5, 75
 BINS, ROWS = 128, 4
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A mixed bucket of up to so many members is settled by all its open pairs at once, a constant number for each.
 SMALL_BUCKET, HEADS = 8, 3
 
@@ -145,6 +145,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 def _features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
@@ -164,6 +165,7 @@ def _features(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
@@ -177,9 +179,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, first: bool = False) -> DataFr
     """The pairs (a, b) whose full sets meet the threshold. The first turn's documents grow with the corpus: they're never broadcast."""
     sized = pairs
     wanted = sized.select(F.col("a").alias("id")).unionAll(sized.select(F.col("b").alias("id"))).distinct()
+    wanted = wanted.hint("merge") if first else wanted
     sets = written(_sets(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
     both = sized.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    wanted = wanted.hint("merge") if first else wanted
     common = F.size(F.array_intersect("ha", "hb"))
     out = written(both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
     discard(sets)
@@ -204,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id are judged as one document by the first of their texts in sort order; a null id
     links with nothing. Other columns are ignored. An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     feats = written(_features(base), "shingles")
     live = feats.where("n > 0 and id is not null")
     classes = live.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))

@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import bounded_batches, claim, discard, written
 
 LENGTH = 200
 K = 24
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of suffixes that a task sorts into one run, and that one range merges, about.
-RUN_BYTES, RANGE_BYTES = 48 << 20, 12 << 20
+RUN_BYTES, RANGE_BYTES = 32 << 20, 12 << 20
 SPLITTERS = 4_000
 
 _u64 = np.uint64
@@ -54,6 +54,10 @@ def _powers(n: int, base: int) -> np.ndarray:
     return held[:n]
 
 
+def _claim() -> None:
+    claim("suffixes", _powers_of.clear)
+
+
 def gram_hashes(raw: np.ndarray, k: int = K) -> np.ndarray:
     """A mixed 64-bit hash of the k bytes at each position."""
     n = len(raw) - k + 1
@@ -252,10 +256,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     k = min(K, length)
-    base = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = base.schema["d"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _claim()
         for batch in batches:
             texts, at = batch.column(2).cast(pa.large_binary()), 0
             sizes = texts.fill_null(b"")
@@ -293,6 +298,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of pieces of runs (range, run, blob), and rows of the runs' members (run, number, d, th, p)."""
+        _claim()
         task, turn, held, size = TaskContext.get().partitionId(), 0, [], 0
         cuts = [s[:k] for s in splitters]
 
@@ -375,7 +381,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return base, written(spans.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
 
-PIECE = 8 << 20
+PIECE = 1 << 20
 
 
 def _chunks(texts: list[bytes], length: int):

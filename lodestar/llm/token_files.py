@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import bounded_batches, new_path, written
 from .units import shared_library_encoder, slices
 
 #: Fixed values of the zstd seekable format.
@@ -123,7 +123,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, to: str | None = Non
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(writer.ids)], "n_tokens": [total]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = written(sorted_rows.mapInArrow(run, "shard int, path string, n_docs bigint, n_tokens bigint"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard

@@ -14,11 +14,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import claim
+
 #: Fixed value: the white space of Unicode, as RE2 writes it.
 SPACE = r"\x09-\x0d \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 UNSAFE = rf"[{SPACE}] (?:[{SPACE}]|$)|<\|endoftext\|>"
-SLICE_BYTES = 8 << 20
-CACHE_UNITS = 700_000
+SLICE_BYTES = 4 << 20
+CACHE_UNITS = 400_000
 #: Units that the library encodes in one call; each starts with a space, so none changes the others' ids.
 JOINED = 500
 SPECIAL = "<|endoftext|>"
@@ -130,6 +132,7 @@ _encoders: dict[str, UnitEncoder] = {}
 
 def shared_library_encoder(path: str) -> UnitEncoder:
     """One encoder a worker and file, so that its cache outlives a task."""
+    claim("units", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = library_encoder(path)
     return _encoders[path]
