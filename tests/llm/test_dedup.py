@@ -136,7 +136,7 @@ def test_minhash_odd_rows(odd_docs):
 
 
 def test_line_spread(spark, odd_docs, no_docs):
-    rows = [(i, f"own line {i}\nAll rights  reserved\n\nfour sites {i // 4}", f"s{i % 7}") for i in range(28)] + [(100, None, "s1"), (101, "All rights reserved", None), (None, "All rights reserved", "s1")]
+    rows = [(i, f"own line {i}\n  All rights reserved \n\nfour sites {i // 4}", f"s{i % 7}") for i in range(28)] + [(100, None, "s1"), (101, "All rights reserved", None), (None, "All rights reserved", "s1")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r["doc_id"]: r for r in line_spread.drop_boilerplate(docs, 5).collect()}
     assert got[3]["text"] == "own line 3\n\nfour sites 0" and got[3]["n_lines"] == 3 and got[3]["n_removed"] == 1
