@@ -7,9 +7,12 @@ Bands of ROWS bins give buckets. Documents with equal shingle sets are one class
 In each bucket every member is paired with one centre only, so a bucket of n gives n - 1 pairs.
 Pairs are confirmed on the full sets. Bands choose different centres, and a bucket whose
 members aren't in one component yet gets further turns with HEADS of its best-linked members as
-centres, until these find no more links. What two documents have in common beyond such a hub is
-rare, so they also share buckets that few others are in: buckets of up to SMALL_BUCKET members are
-settled by all their open pairs. Every turn thus makes a number of pairs in proportion to the members.
+centres, until these find no more links. Buckets of up to SMALL_BUCKET members are settled by all
+their open pairs. Every turn thus makes a number of pairs in proportion to the members.
+
+The members of large buckets that are still mixed then are settled by an exact join. A document's
+shingles are put in one order for all, rarest first. Two linked documents' first common shingle is
+then among the first quarter of either's, and enough shingles follow it in both.
 """
 
 from __future__ import annotations
@@ -188,6 +191,31 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, first: bool = False) -> DataFr
     return out
 
 
+def _unsettled(opened: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of opened (id, n, component) in different components: all that meet the threshold are among them.
+
+    A shingle that only one component holds can't be common to a pair: it comes before all others.
+    Components meet at a shingle before their members do, so a component's own pairs are never made.
+    """
+    sets = written(_sets(docs.join(opened.select("id"), "id", "left_semi").dropDuplicates(["id"])).join(opened, "id"), "opened")
+    tokens = sets.select("id", "n", "component", F.explode("hashes").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t", "df")
+    ordered = tokens.join(shared, "t").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    first = ordered.withColumn("alone", alone).where("alone <= n div 4").withColumn("s", F.expr("slice(s, 1, cast(n div 4 + 1 - alone as int))"))
+    # rest: the shingles from this one on
+    first = written(first.select("id", "n", "component", "alone", F.posexplode("s").alias("at", "x")).select("id", "n", "component", F.col("x.t").alias("t"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest")), "first")
+    groups = first.groupBy("t", "component").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+    # common / (x + y - common) >= PERCENT / 100
+    enough = lambda x, y: (100 + PERCENT) * F.least(f"rest{x}", f"rest{y}") >= PERCENT * (F.col(f"n{x}") + F.col(f"n{y}"))
+    side = lambda df, x, *more: df.select("t", *more, *[F.col(c).alias(f"{c}{x}") for c in ("component", "n", "rest")])
+    meet = side(groups, "x").join(side(groups, "y"), "t").where((F.col("componentx") < F.col("componenty")) & enough("x", "y")).select("t", "componentx", "componenty")
+    out = meet.join(side(first, "x", F.col("id").alias("x")), ["t", "componentx"]).join(side(first, "y", F.col("id").alias("y")), ["t", "componenty"])
+    out = written(out.where(enough("x", "y")).select(*_pair("x", "y")).distinct(), "pairs")
+    discard(sets, first)
+    return out
+
+
 def _pair(x: str, y: str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -235,11 +263,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             left, right = (small.select("key", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "xy")
             pairs = pairs.unionAll(left.join(right, "key").where((F.col("cx") < F.col("cy")) & alike("nx", "ny")).select(*_pair("x", "y")))
         new = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        discard(ranked)
         found = None if is_empty(new) else _confirmed(new, base)
         if found is None or is_empty(found):
             break
+        discard(ranked)
         tried, links, turn = written(tried.unionAll(new), "tried"), written(links.unionAll(found), "links"), turn + 1
+    if not is_empty(large):
+        opened = written(large.select("id", "n", "component").distinct(), "opened")
+        rest = _unsettled(opened, base).join(tried.unionAll(new), ["a", "b"], "left_anti")
+        found = None if is_empty(rest) else _confirmed(rest, base)
+        if found is not None and not is_empty(found):
+            joined = written(components(links.unionAll(found)), "turn")
     names = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left") if joined is not None else classes.withColumn("component", F.lit(None).cast("long"))
     names = names.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = feats.select("id", "n", "h1", "h2").join(names, ["n", "h1", "h2"], "left").withColumn("component", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")))

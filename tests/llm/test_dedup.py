@@ -130,6 +130,23 @@ def test_minhash_against_brute_force(spark, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_minhash_pairs_that_share_a_long_passage(spark):
+    rng = random.Random(6)
+    fresh = (f"w{i}" for i in range(100_000))
+    take = lambda k: [next(fresh) for _ in range(k)]
+    passage, texts = take(100), []
+    for _ in range(250):
+        own = take(4)
+        texts += [" ".join(passage + own + take(14 + rng.randint(0, 1))) for _ in range(2)]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = minhash.near_duplicates(docs).orderBy("doc_id").collect()
+    assert len(linked) == 250
+    assert [r["component_id"] for r in got] == brute_components(len(texts), linked)
+
+
 def test_minhash_odd_rows(odd_docs):
     got = {r["doc_id"]: r for r in minhash.near_duplicates(odd_docs).collect()}
     assert got[None]["n_shingles"] == 1 and got[0]["n_shingles"] == 0 and got[10]["component_id"] == 6 and not got[10]["kept"]
