@@ -3,8 +3,9 @@
 Each page is cut into text nodes with their root-to-leaf tag path (block-level tags and links,
 with their class, id and role). For every path the text length, punctuation and node count are
 summed; the length and punctuation ratios are smoothed over neighbouring paths in page order,
-fused, and paths above a threshold are content. Their common container gives the content nodes:
-everything in it is kept but what its own tags or names say is page furniture.
+fused, and paths above a threshold are content. Their common container and the branches beside it
+that read like it (headings, lists, text of comparable length) give the content nodes: everything
+in them is kept but what its own tags or names say is page furniture.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？：；]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SMOOTH = (0.25, 0.5, 0.25)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTS = {"li", "dd", "dt", "td", "pre", "blockquote"}
+#: Text beside the container is content from this share of its mean block length, or as a sentence of so many characters.
+SHARE, SENTENCE = 0.25, 40
 
 
 def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -160,6 +165,46 @@ def container(paths: set[tuple[str, ...]]) -> tuple[str, ...]:
     return first
 
 
+def beside(nodes: list[tuple[int, tuple[str, ...], str]], root: tuple[str, ...]) -> set[tuple[str, ...]]:
+    """The paths in the container and in the branches of its ancestors that hold content too.
+
+    Where the container is in an article or main element, only branches inside that are looked at.
+    """
+    k = len(root)
+    outer = next((i for i, step in enumerate(root) if step.split(".")[0] in ("article", "main")), -1)
+    held: set[tuple[str, ...]] = set()
+    branches: dict[tuple[str, ...], dict[tuple[str, ...], list]] = {}
+    length, blocks = 0, set()
+    for block, path, text in nodes:
+        size = len(text.strip())
+        if path[:k] == root:
+            held.add(path)
+            length += size
+            if size:
+                blocks.add(block)
+        elif size:
+            j = 0
+            while j < min(k, len(path)) and path[j] == root[j]:
+                j += 1
+            if j > outer:
+                sums = branches.setdefault(path[: j + 1], {}).setdefault(path, [0, 0, set()])
+                sums[0] += size
+                sums[1] += len(PUNCTUATION.findall(text))
+                sums[2].add(block)
+    mean = length / max(len(blocks), 1)
+    for paths in branches.values():
+        total = sum(s[0] for s in paths.values())
+        tags = {path: {step.split(".")[0] for step in path} for path in paths}
+        if 2 * sum(s[0] for path, s in paths.items() if "a" in tags[path]) > total:
+            continue
+        for path, (size, marks, own) in paths.items():
+            each = size / len(own)
+            if "a" not in tags[path] and (tags[path] & (HEADINGS | LISTS) or each >= SHARE * mean or each >= SENTENCE and marks >= len(own)):
+                held.update(paths)
+                break
+    return held
+
+
 def extract(page: str | None) -> str:
     """The main text of one page; empty for a null or empty page and one without text."""
     if not page:
@@ -168,18 +213,8 @@ def extract(page: str | None) -> str:
     chosen = content_paths(nodes)
     if not chosen:
         return ""
-    root = container(chosen)
-    k = len(root)
-    links: dict[int, list[int]] = {}
-    kept: list[tuple[int, str]] = []
-    for block, path, text in nodes:
-        if path[:k] == root:
-            kept.append((block, text))
-            held = links.setdefault(block, [0, 0])
-            size = len(text.strip())
-            held[0] += size
-            if any(step.split(".")[0] == "a" for step in path[k:]):
-                held[1] += size
+    held = beside(nodes, container(chosen))
+    kept: list[tuple[int, str]] = [(block, text) for block, path, text in nodes if path in held]
     out: list[str] = []
     last, parts = None, []
     for block, text in [*kept, (None, "")]:

@@ -21,6 +21,20 @@ def test_without_article():
     assert html_text.extract(page) == "\n".join(f"Paragraph {i}, which has some words, and a stop." for i in range(5))
 
 
+def test_parts_of_different_paths():
+    paragraph, item = "A paragraph, with words. " * 4, "An item of a list, which is long, and has a stop. " * 3
+    lines = lambda tag, text, n: f"<{tag}>{text.strip()}</{tag}>" * n
+    links = '<div class="x1">' + '<p><a href="/x">Another page of the site</a></p>' * 6 + "</div>"
+    post = f"<div class=post>{lines('p', paragraph, 3)}<ul>{lines('li', item, 15)}</ul></div>"
+    assert html_text.extract(f"<body>{links}{post}</body>").split("\n") == [paragraph.strip()] * 3 + [item.strip()] * 15
+    entry = f"<div class=post><h1>Head line</h1><div class=entry>{lines('p', paragraph, 5)}</div></div>"
+    assert html_text.extract(f"<body>{links}{entry}</body>").split("\n") == ["Head line"] + [paragraph.strip()] * 5
+    sections = f"<section class=one>{lines('p', paragraph, 9)}</section><section class=two>{lines('p', paragraph + 'End.', 2)}</section><section class=three><h2>Last</h2><ol>{lines('li', 'short', 2)}</ol></section>"
+    assert html_text.extract(f"<body>{links}{sections}</body>").split("\n") == [paragraph.strip()] * 9 + [paragraph + "End."] * 2 + ["Last", "short", "short"]
+    both = f"<main><h1>Head line</h1><article class=a>{lines('p', item, 9)}</article><article class=b>{lines('p', paragraph, 2)}</article></main>"
+    assert html_text.extract(f"<body><p>{paragraph}</p>{both}</body>").split("\n") == ["Head line"] + [item.strip()] * 9 + [paragraph.strip()] * 2
+
+
 def test_broken_pages():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<p></p>") == html_text.extract("<script>x") == ""
     assert html_text.extract("plain text &lt;only") == "plain text <only"
