@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, claim, written
 
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
+#: The training sample stays so large however many labels there are; each has LEAST_TEXTS at least.
+SAMPLE, LEAST_TEXTS = 25_600, 20
 BUCKETS = 1 << 16
 #: Weight of a trigram: neighbours overlap, so their likelihoods aren't independent.
 TEMPER = 0.3
@@ -98,15 +99,15 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
-    """Trained on up to per_language rows of each of the MAX_LANGUAGES most common labels."""
+    """Trained on up to per_language rows of each label, fewer where there are many labels."""
     rows = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
-    top = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    top = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").collect()}
+    per_language = min(per_language, max(LEAST_TEXTS, SAMPLE // max(1, len(top))))
     # by hash, so the same texts for the same table: twice as many as asked for are looked at, in one pass
     parts = 1 << 30
     mine = F.pmod(F.xxhash64("text"), F.lit(parts))
-    picked = F.lit(False)
-    for lang, n in top.items():
-        picked |= (F.col("lang") == lang) & (mine < int(min(1.0, 2 * per_language / n) * parts))
+    bounds = [F.lit(x) for lang, n in top.items() for x in (lang, int(min(1.0, 2 * per_language / n) * parts))]
+    picked = mine < F.create_map(*bounds)[F.col("lang")] if top else F.lit(False)
     likely = rows.where(picked).dropDuplicates(["lang", "text"]).select("lang", "text", mine.alias("x")).limit(4 * per_language * max(1, len(top)))
     found: list[tuple[str, str]] = []
     left = dict.fromkeys(top, per_language)

@@ -73,3 +73,10 @@ def test_language_id_held_out(spark):
     assert not langid.identify(docs, None, ["doc_id"], F.col("text")).where("accepted").count()
     assert langid.identify(docs.limit(0), model, ["doc_id"], F.col("text"), F.col("lang")).count() == 0
     assert langid.fit(docs.limit(0)) is None
+
+
+def test_language_id_of_more_than_64_labels(spark):
+    rng = random.Random(3)
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "abcdefg"]
+    rows = [(name, f"{name}x{name}y " * rng.randint(3, 9)) for name in names for _ in range(3)]
+    assert langid.fit(spark.createDataFrame(rows, "lang string, text string")).languages == names
