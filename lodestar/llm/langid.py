@@ -10,6 +10,7 @@ host's counts. Rows with no letters, or whose text fits no language, are `und`.
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -119,13 +120,14 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", pe
 
 
 def identify(
-    docs: DataFrame, model: LanguageModel | None, id_cols: list[str], text: Column, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, prefix: str = ""
+    docs: DataFrame, model: LanguageModel | None, id_cols: list[str], text: Column, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, prefix: str = "", references: bool = False
 ) -> DataFrame:
     """id_cols, lang, posterior, text_lang, n_trigrams, accepted for each row.
 
     declared, host and suffix may be null or left out; then they're no evidence. A null or empty
     text has no trigrams and is `und` and not accepted; so is every row when there is no model.
     prefix stands before the names of the five result columns, for id_cols that clash with them.
+    references: the text holds HTML's character references, which are decoded first.
     Repeated rows are judged alike. Rows are neither dropped nor joined by id, so null ids are fine.
     """
     languages = model.languages if model else []
@@ -146,7 +148,8 @@ def identify(
         claim("languages")
         m = shared.value
         for batch in batches:
-            score, n = m.score(batch.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            score, n = m.score([t and html.unescape(t) for t in texts] if references else texts)
             mean = score.max(1) / np.maximum(n, 1)
             odd = (n == 0) | (n >= LEAST_TRIGRAMS) & (mean < m.usual + WAY * (RANDOM - m.usual))
             yield pa.RecordBatch.from_arrays(

@@ -27,10 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page: its text without markup, its declared language, its host and address suffix."""
     model = langid.fit(table(spark, sf_dir, "documents"), "text", "lang")
     pages = table(spark, sf_dir, "pages")
-    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&#?\w+;?", " ")
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
     declared = F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     host = url_host(F.col("url"))
-    return langid.identify(pages, model, ["page_id", "url"], plain, declared, host, F.regexp_extract(host, r"\.([a-z]+)$", 1))
+    return langid.identify(pages, model, ["page_id", "url"], plain, declared, host, F.regexp_extract(host, r"\.([a-z]+)$", 1), references=True)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

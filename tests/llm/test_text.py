@@ -80,3 +80,16 @@ def test_language_id_of_more_than_64_labels(spark):
     names = [f"{a}{b}" for a in "abcdefghij" for b in "abcdefg"]
     rows = [(name, f"{name}x{name}y " * rng.randint(3, 9)) for name in names for _ in range(3)]
     assert langid.fit(spark.createDataFrame(rows, "lang string, text string")).languages == names
+
+
+def test_language_id_of_character_references(spark, tmp_path):
+    from lodestar.llm import queries
+
+    rng = random.Random(4)
+    docs = [(i, made_up(rng, lang, 40), lang * 2) for i, lang in enumerate("xyz" * 40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    refer = lambda text: "".join(f"&#{ord(c)};" for c in text)
+    pages = [(i, f"http://h{i}/", f"<html><p>{refer(text)}</p></html>") for i, text, _ in docs[:9]]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["text_lang"] for r in queries.op1_language_id(spark, str(tmp_path)).collect()}
+    assert got == {i: lang for i, _, lang in docs[:9]}
