@@ -228,6 +228,9 @@ class Parser:
             self.type_item()
         elif self.at_word("extern") or self.at_word("unsafe") and self.text(1) == "extern":
             self.extern_item()
+        elif self.at_word("macro") and self.kind(1) == "ident":
+            del self.facts.paths[before:]
+            self.macro_item()
         elif self.kind() == "ident" or self.at("::"):
             self.item_macro(first)
         else:
@@ -712,6 +715,16 @@ class Parser:
         else:
             self.eat(";")
 
+    def macro_item(self) -> None:
+        """A declarative macro: `macro name { … }` or `macro name(…) { … }`. It's opaque and gives no facts."""
+        self.word("macro")
+        self.ident()
+        if self.text() == "(" and self.kind() == "open":
+            self.macro_body()
+        if self.text() != "{":
+            self.fail("{")
+        self.macro_body()
+
     def macro_body(self) -> None:
         """A delimited token tree; inside, operators keep the spacing of the text."""
         if self.kind() != "open":

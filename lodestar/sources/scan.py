@@ -114,9 +114,22 @@ class SourceScan:
         return roots, sorted(m.replace("-", "_") for m in members), sorted(d.replace("-", "_") for d in deps)
 
     def listing(self, spark: SparkSession) -> DataFrame:
-        """Every file below the roots: path, modified, length, discovery_ord. Only names and sizes pass the driver."""
-        rows = list(walk(self.resolve()[0], self.links, unique=not self.quirks))
-        return spark.createDataFrame(rows, LISTING)
+        """Every file below the roots: path, modified, length, discovery_ord.
+
+        Roots that are URIs (s3a://, hdfs://, file://) are listed by Spark, where the files are many on its
+        executors; Spark leaves out names that begin with a dot or an underscore. Local paths are walked
+        here; only names and sizes pass the driver.
+        """
+        roots = self.resolve()[0]
+        rows = list(walk([r for r in roots if "://" not in r], self.links, unique=not self.quirks))
+        out = spark.createDataFrame(rows, LISTING)
+        stored = [r for r in roots if "://" in r]
+        if not stored:
+            return out
+        # in the order of the paths; a range of them is one partition, so numbers grow from range to range
+        found = _stored(spark, stored).select("path", F.col("modificationTime").alias("modified"), "length")
+        found = found.distinct().repartitionByRange("path").sortWithinPartitions("path")
+        return out.unionByName(found.withColumn("discovery_ord", F.monotonically_increasing_id() + F.lit(len(rows))))
 
     def chosen(self, listing: DataFrame) -> DataFrame:
         """The listing's files to read: globs and extension, then the newest, then the size bound."""
@@ -127,7 +140,10 @@ class SourceScan:
         from ..operators.corpus import Corpus
 
         _, members, deps = self.resolve()
-        files = self.chosen(self.listing(spark)).withColumn("file_ord", F.col("discovery_ord")).withColumn("source", F.lit(None).cast("string"))
+        files = self.chosen(self.listing(spark)).withColumn("file_ord", F.col("discovery_ord")).withColumn("source", F.lit(None).cast("binary"))
+        stored = [r for r in self.resolve()[0] if "://" in r]
+        if stored:
+            files = _with_bytes(spark, files.drop("source").persist(), stored)
         parallelism = spark.sparkContext.defaultParallelism
         spread = files.repartition(max(parallelism, min(20_000, files.count() // BATCH_FILES)), "discovery_ord")
         corpus = Corpus.from_sources(spread, self.crate, members, deps, span_locations=self.locations, reference_quirks=self.quirks).persist()
@@ -136,6 +152,20 @@ class SourceScan:
         return corpus
 
 
+def _stored(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Source files below URIs, read by Spark's own reader: path, modificationTime, length, content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rs").load(roots)
+
+
+def _with_bytes(spark: SparkSession, files: DataFrame, roots: list[str]) -> DataFrame:
+    """The chosen files with their bytes; no older file than the oldest chosen one, nor a longer one, is opened."""
+    bounds = files.agg(F.min("modified"), F.max("length")).first()
+    read = _stored(spark, roots)
+    if bounds[0] is not None:
+        read = read.where((F.col("modificationTime") >= F.lit(bounds[0])) & (F.col("length") <= F.lit(bounds[1])))
+    return files.join(read.select("path", F.col("content").alias("source")).dropDuplicates(["path"]), "path", "left")
+
+
 def choose(listing: DataFrame, includes: list[str], excludes: list[str] | None = None, newest: int | None = None, max_size: int | None = None) -> DataFrame:
     """Source files of a listing that match an include, and no exclude; then the newest; then those small enough."""
     path = F.col("path")
@@ -225,7 +255,8 @@ def _manifest(folder: Path) -> dict:
 
 
 def facts(files: DataFrame, crate: str, relations: list[str] | None = None) -> DataFrame:
-    """One row of facts a file, from rows (path, modified, file_ord, source); a null source is read from its path.
+    """One row of facts a file, from rows (path, modified, file_ord, source); source is text or UTF-8 bytes,
+    and a null one is read from its path.
 
     The only custom stage: everything after it is built-in DataFrame operations. A file that can't be
     read or parsed gives a row with _error and empty facts, never a failed task.
@@ -248,8 +279,10 @@ def _file(row: dict, crate: str, names: list[str]) -> dict:
     try:
         text = row["source"]
         if text is None:
-            with open(row["path"], "rb") as f:
-                text = f.read().decode("utf-8")
+            with open(row["path"], "rb") as f:  # a folder that all executors see; others are read by Spark
+                text = f.read()
+        if isinstance(text, bytes | bytearray):
+            text = bytes(text).decode("utf-8")
         found = parse(text, crate)
     except (OSError, UnicodeDecodeError) as e:
         return out | {"_error": {"kind": "io", "path": row["path"], "message": str(e)}} | {n: [] for n in names}

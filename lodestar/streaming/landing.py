@@ -13,7 +13,10 @@ from ..sources.scan import facts
 
 
 def read_landing(spark: SparkSession, path: str, crate: str, max_files: int = 1_000) -> DataFrame:
-    """The stream of facts rows, one a file that arrives below path, at most max_files a batch."""
+    """The stream of facts rows, one a file that arrives below path, at most max_files a batch.
+
+    A file that isn't UTF-8 or doesn't parse gives a row with its error and doesn't stop the stream.
+    """
     files = (
         spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary")
         .format("binaryFile")
@@ -22,7 +25,7 @@ def read_landing(spark: SparkSession, path: str, crate: str, max_files: int = 1_
         .option("maxFilesPerTrigger", max_files)
         .load(path)
     )
-    rows = files.select("path", F.col("modificationTime").alias("modified"), F.xxhash64("path").alias("file_ord"), F.decode("content", "UTF-8").alias("source"))
+    rows = files.select("path", F.col("modificationTime").alias("modified"), F.xxhash64("path").alias("file_ord"), F.col("content").alias("source"))
     return facts(rows, crate)
 
 

@@ -280,3 +280,28 @@ def test_stream(spark, tmp_path):
             (tmp_path / "in/b.rs").write_text(text)
         on_each_batch(read_landing(spark, str(tmp_path / "in"), "k"), "k", str(tmp_path / "ck"), act, once=True).awaitTermination()
     assert seen == ["public function missing docs: k::a", "public function missing docs: k::b"]
+
+
+def test_uris_are_read_by_spark(spark, tmp_path):
+    for i in range(4):
+        p = tmp_path / "t" / f"d{i % 2}" / f"f{i}.rs"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(f"fn f{i}() {{}}")
+        os.utime(p, (1000 + i, 1000 + i))
+    root = tmp_path / "t"
+    found = SourceScan("k").scan_in_folder(root.as_uri()).exclude_glob("**/f1*").parse(spark)
+    assert values(found.functions_df.orderBy("file_ord"), "fq_name") == [("k::f0",), ("k::f2",), ("k::f3",)]
+    newest = SourceScan("k").scan_in_folder(root.as_uri()).only_newest(1).parse(spark)
+    assert values(newest.functions_df, "fq_name") == [("k::f3",)]
+
+
+def test_stream_goes_on_after_bad_bytes(spark, tmp_path):
+    from lodestar.streaming.landing import on_each_batch, read_landing
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "bad.rs").write_bytes(b"fn a() {} // \xff")
+    (landing / "good.rs").write_text("fn b() {}")
+    seen = []
+    on_each_batch(read_landing(spark, str(landing), "k"), "k", str(tmp_path / "state"), lambda k, i: seen.append((values(k.functions_df, "fq_name"), values(k.errors, "kind"))), once=True).awaitTermination()
+    assert seen == [([("k::b",)], [("io",)])]

@@ -197,3 +197,8 @@ def test_imports_round_trip(items):
     got = [(i["full_path"], i["is_public_use"], i["is_absolute"], i["kind"]["kind"]) for i in parse(text, "k").imports]
     kind = {"": "Name", "::*": "Glob", " as q": "Rename"}
     assert got == [(("::" if a else "") + "::".join(path) + (end if end == "::*" else ""), p, a, kind[end]) for path, p, a, end in items]
+
+
+def test_declarative_macro_items_are_opaque():
+    found = parse("pub macro m($a:expr) { $a }\nmacro n { (x::y) => { std::z } }\npub fn after() {}\n", "k")
+    assert [f["fq_name"] for f in found.functions] == ["k::after"] and not [p for p in found.paths if p["keep"]]
