@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.text import INTERNAL_ROOTS
 from ..sources.errors import BY_KIND, ScanError
 from ..sources.scan import facts
-from ..sources.schema import RELATIONS
 from . import containment, rules, snapshot, use_sites
 from .imports import classify
 from .queries import Finder, FunctionQuery, ImportQuery
@@ -44,14 +43,12 @@ class Corpus:
     # -- relations
 
     def _flat(self, name: str) -> DataFrame:
-        fields = {f.split(":")[0] for f in RELATIONS[name].split(",")}
         rows = self.facts.select("file_ord", F.col("path").alias("_file"), F.inline(name))
         if name == "fn_spans":
             positions = ["start_line", "start_col", "end_line", "end_col"]
             out = rows.withColumn("file", F.col("_file")).drop("_file")
             return out if self.span_locations else out.withColumns({p: F.lit(None).cast("long") for p in positions})
         line, column = (F.col("line"), F.col("column")) if self.span_locations else (F.lit(None).cast("long"), F.lit(None).cast("long"))
-        assert {"line", "column"} <= fields | {"line", "column"}
         return rows.withColumn("location", F.struct(F.col("_file").alias("path"), line.alias("line"), column.alias("column"))).drop("_file", "line", "column")
 
     def _kept(self, name: str, make) -> DataFrame:

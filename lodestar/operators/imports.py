@@ -60,7 +60,10 @@ def in_order(imports: DataFrame) -> DataFrame:
 
 
 def group_by_origin(imports: DataFrame) -> DataFrame:
-    """origin, its rank in the order of display, n, and the rows' paths in order."""
+    """origin, its rank in the order of display, n, and the rows' paths in order.
+
+    A group is one row here, for corpora whose groups fit in one; rows_by_origin() has no such bound.
+    """
     origin = origin_or_unknown(F.col("origin"))
     return _grouped(imports.withColumn("origin", origin), "origin").withColumn("origin_rank", origin_rank(F.col("origin")).cast("long"))
 
@@ -69,6 +72,21 @@ def group_by_root(imports: DataFrame) -> DataFrame:
     return _grouped(imports, "root")
 
 
+def rows_by_origin(imports: DataFrame) -> DataFrame:
+    """Every import with its origin's rank and count: the groups as rows, however large they are."""
+    rows = imports.withColumn("origin", origin_or_unknown(F.col("origin")))
+    return _counted(rows, "origin").withColumn("origin_rank", origin_rank(F.col("origin")).cast("long"))
+
+
+def rows_by_root(imports: DataFrame) -> DataFrame:
+    return _counted(imports, "root")
+
+
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return rows.join(counts, key)
+
+
 def _grouped(rows: DataFrame, key: str) -> DataFrame:
     listed = F.sort_array(F.collect_list(F.struct("file_ord", "ord", "full_path")))
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.transform(listed, lambda r: r["full_path"]).alias("full_paths"))

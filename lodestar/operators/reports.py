@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import place, truncate
 from .rules import ordered
 
+#: The title and the table's header.
 TITLE = "# Findings Report"
 HEADER = "SEV  CODE    LOCATION                         MESSAGE\n---- ------- -------------------------------  ------------------------------\n"
 
@@ -49,9 +50,15 @@ def to_json(findings: DataFrame) -> str:
     return json.dumps(out, indent=2, ensure_ascii=False)
 
 
+def json_lines(findings: DataFrame) -> DataFrame:
+    """One JSON object a finding, with its place in the order."""
+    shown = F.struct("severity", "code", "message", "location", F.parse_json("extra").alias("extra"))
+    return lines(findings, F.to_json(shown, {"ignoreNullFields": "false"}))
+
+
 def write_json(findings: DataFrame, path: str) -> None:
     """One JSON object a line, written by the executors."""
-    findings.select("severity", "code", "message", "location", F.parse_json("extra").alias("extra")).write.json(path, ignoreNullFields=False)
+    json_lines(findings).select("line").write.text(path)
 
 
 def write_markdown(findings: DataFrame, path: str) -> None:

@@ -44,6 +44,7 @@ class UnwrapInPublicApi:
 
 class PanicMacrosInPublicApi:
     code, name = "API003", "Panicking macros in public API"
+    #: Fixed values.
     macros = ("panic", "todo", "unreachable")
 
     def run(self, corpus) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import containment, imports, reports, use_sites
 from ..operators.snapshot import Snapshot
+from ..sources.globs import GENERATED
 from ..sources.scan import choose
-from .synth import corpus, nation_listing
+from .synth import DEPENDENCIES, corpus, generated_listing, nation_listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -443,3 +444,93 @@ def scan_globs(spark, sf_dir):
 @query(_G5 + "SELECT path, length FROM (SELECT * FROM f ORDER BY t DESC, k DESC LIMIT 10) WHERE length <= 200")
 def scan_max_size(spark, sf_dir):
     return choose(nation_listing(spark, sf_dir), ["**/*.rs"], newest=10, max_size=200).select("path", "length")
+
+
+@query(_G5 + "SELECT path, length FROM (SELECT * FROM f ORDER BY t DESC, k DESC LIMIT 20) WHERE length <= 200")
+def scan_newest_small(spark, sf_dir):
+    return choose(nation_listing(spark, sf_dir), ["**/*.rs"], newest=20, max_size=200).select("path", "length")
+
+
+@query("SELECT 'src/n' || n_nationkey || '.rs' AS path FROM nation WHERE n_nationkey % 4 = 3")
+def scan_generated(spark, sf_dir):
+    return choose(generated_listing(spark, sf_dir), ["**/*.rs"], GENERATED).select("path")
+
+
+@query("SELECT 'src/generated/macros/supplier_' || s_suppkey || '.rs' AS path, 'parse' AS kind FROM supplier WHERE s_suppkey % 10 = 7")
+def scan_errors(spark, sf_dir):
+    """The files that a permissive scan leaves out."""
+    return corpus(spark, sf_dir, "macros").errors.select("path", "kind")
+
+
+# -- cases that the corpora above lack
+
+_G6 = "WITH f AS (SELECT s_suppkey AS k, 'k::f_' || s_suppkey AS scope, 'src/generated/macros/supplier_' || s_suppkey || '.rs' AS path FROM supplier WHERE s_suppkey % 10 <> 7)\n"
+
+
+@query("SELECT 'k::part_' || p_partkey AS fq_name FROM part WHERE p_partkey % 5 <> 0 AND p_size > 25")
+def fn_takes_some_arg(spark, sf_dir):
+    return _fn(corpus(spark, sf_dir, "new").functions().takes_arg("u16").df())
+
+
+@query("SELECT 'src/n' || n_nationkey || '.rs' AS path, n_nationkey = 0 AS no_std FROM nation")
+def no_std_files(spark, sf_dir):
+    return corpus(spark, sf_dir, "nations").files.select("path", F.col("is_no_std_crate_root").alias("no_std"))
+
+
+@query("SELECT FALSE AS no_std FROM part LIMIT 1")
+def corpus_with_std(spark, sf_dir):
+    return corpus(spark, sf_dir, "parts").no_std()
+
+
+@query(_G6 + """SELECT 'std' AS dep, 'std::println' AS path, 'println' AS head, u.kind AS kind, scope FROM f, (VALUES ('Path'), ('MacroCall')) u(kind) WHERE k % 2 = 0
+  UNION ALL SELECT 'serde_json', 'serde_json::json', 'json', u.kind, scope FROM f, (VALUES ('Path'), ('MacroCall')) u(kind) WHERE k % 3 = 0""")
+def dep_macro_sites(spark, sf_dir):
+    return _sites(corpus(spark, sf_dir, "macros").dep_use_sites(["std", "serde-json"]))
+
+
+@query(_G6 + "SELECT 'crate' AS dep, 'crate::mine' AS path, 'mine' AS head, u.kind AS kind, scope FROM f, (VALUES ('Path'), ('MacroCall')) u(kind) WHERE k % 5 = 0")
+def internal_macro_sites(spark, sf_dir):
+    return _sites(corpus(spark, sf_dir, "macros").internal_use_sites())
+
+
+@query(_G2 + f"SELECT {_I}, CASE WHEN root = 'mystery' THEN 'WorkspaceMember' ELSE origin END AS origin FROM i")
+def imports_members(spark, sf_dir):
+    return imports.classify(_g2(spark, sf_dir).imports_df, ["mystery"], DEPENDENCIES).select("file_ord", "ord", "full_path", "origin")
+
+
+@query(_G4 + "SELECT CASE WHEN old IS NULL THEN 'added' ELSE 'changed' END AS change, 'k::part_' || k AS key, old, new FROM j WHERE new IS NOT NULL AND old IS DISTINCT FROM new")
+def diff_last_wins(spark, sf_dir):
+    """Names that occur twice count by their last function; so nothing is removed."""
+    old: Snapshot = corpus(spark, sf_dir, "old").snapshot()
+    return corpus(spark, sf_dir, "both").diff_snapshot(old).where("entity = 'function'").drop("entity")
+
+
+@query(_G4 + "SELECT 'removed' AS change, 'e' || k AS key, 'ext::e' || k AS old, CAST(NULL AS VARCHAR) AS new FROM j, (VALUES (1), (2)) u(x) WHERE new IS NULL")
+def diff_repeated_exports(spark, sf_dir):
+    """Exports keep their repeats: each old one that is gone counts."""
+    once: Snapshot = corpus(spark, sf_dir, "old").snapshot()
+    twice = Snapshot(once.crate, once.no_std, once.functions, once.exports.unionAll(once.exports), once.imports)
+    return corpus(spark, sf_dir, "new").diff_snapshot(twice).where("entity = 'export' AND change = 'removed'").drop("entity")
+
+
+@query(_G6 + "SELECT printf('%-4s %-7s %-31s  %s', 'Warn', 'API001', 'src/generated/macros/supplie...', 'public function missing docs: ' || scope) AS line FROM f")
+def report_table_truncated(spark, sf_dir):
+    found = corpus(spark, sf_dir, "macros").rules().with_default_rules().run()
+    return reports.lines(found.where("code = 'API001'"), reports.table_line()).select("line")
+
+
+@query(_G3 + f"SELECT '{{\"severity\":\"' || severity || '\",\"code\":\"' || code || '\",\"message\":\"' || message || '\",\"location\":{{\"path\":\"' || path || '\",\"line\":null,\"column\":null}},\"extra\":' || extra || '}}' AS line FROM ({_API002} UNION ALL {_API003} UNION ALL {_API004})")
+def report_json(spark, sf_dir):
+    """A JSON object a finding, as the JSON sink writes them; of the rules after the first."""
+    return reports.json_lines(_default(spark, sf_dir).where("code <> 'API001'")).select("line")
+
+
+@query(_G2 + f"""SELECT {_I}, origin, count(*) OVER (PARTITION BY origin) AS n,
+  CAST(list_position(['Internal', 'Std', 'Core', 'Alloc', 'WorkspaceMember', 'Dependency', 'UnknownExternal'], origin) AS BIGINT) AS origin_rank FROM i""")
+def imports_rows_by_origin(spark, sf_dir):
+    return imports.rows_by_origin(_g2(spark, sf_dir).imports_df).select("file_ord", "ord", "full_path", "origin", "n", "origin_rank")
+
+
+@query(_G2 + f"SELECT {_I}, root, count(*) OVER (PARTITION BY root) AS n FROM i")
+def imports_rows_by_root(spark, sf_dir):
+    return imports.rows_by_root(_g2(spark, sf_dir).imports_df).select("file_ord", "ord", "full_path", "root", "n")

@@ -73,6 +73,24 @@ def nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(_table(spark, sf_dir, "nation"), "n_nationkey", "concat('src/n', n_nationkey, '.rs')", "concat(if(n_nationkey = 0, '#![no_std]\\n', ''), 'use std::io;\\n')")
 
 
+def macro_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro calls with and without a path, one file a supplier; every tenth file is broken."""
+    source = """concat('pub fn f_', s_suppkey, '() {', if(s_suppkey % 2 = 0, ' std::println!("x");', ' println!("x");'), if(s_suppkey % 3 = 0, ' serde_json::json!({});', ''),
+        if(s_suppkey % 5 = 0, ' crate::mine!();', ''), if(s_suppkey % 10 = 7, '', ' }'), '\n')"""
+    return _files(_table(spark, sf_dir, "supplier"), "s_suppkey", "concat('src/generated/macros/supplier_', s_suppkey, '.rs')", source)
+
+
+def both_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old parts, then the new ones: most names occur twice."""
+    return old_files(spark, sf_dir).unionByName(new_files(spark, sf_dir).withColumn("file_ord", F.col("file_ord") + F.lit(1 << 40)))
+
+
+def generated_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing in which three of four files look generated."""
+    path = "concat(case n_nationkey % 4 when 0 then 'target/n' when 1 then 'src/my_bindings' when 2 then 'src/a_pb_' else 'src/n' end, n_nationkey, '.rs') AS path"
+    return _table(spark, sf_dir, "nation").selectExpr(path, "timestamp_seconds(0) AS modified", "100L AS length", "CAST(n_nationkey AS BIGINT) AS discovery_ord")
+
+
 def nation_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing, as SourceScan.listing() returns it."""
     return _table(spark, sf_dir, "nation").selectExpr("concat('src/n', n_nationkey, '.rs') AS path", "timestamp_seconds(n_nationkey % 5) AS modified", "100L * n_regionkey AS length", "CAST(n_nationkey AS BIGINT) AS discovery_ord")
@@ -84,7 +102,7 @@ def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions_files(spark, sf_dir).unionByName(shift(orders_files(spark, sf_dir), 1)).unionByName(shift(nation_files(spark, sf_dir), 2))
 
 
-FILES = {"parts": functions_files, "suppliers": methods_files, "customers": imports_files, "orders": orders_files, "old": old_files, "new": new_files, "nations": nation_files, "all": all_files}
+FILES = {"parts": functions_files, "suppliers": methods_files, "customers": imports_files, "orders": orders_files, "old": old_files, "new": new_files, "nations": nation_files, "macros": macro_files, "both": both_files, "all": all_files}
 _kept: dict[tuple, Corpus] = {}
 
 
