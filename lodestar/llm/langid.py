@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim, written
+from .common import bounded_batches, claim, scope, written
 
 SAMPLE_PER_LANGUAGE = 400
 #: The training sample stays so large however many labels there are; each has LEAST_TEXTS at least.
@@ -34,6 +34,8 @@ PRIOR_ROWS, UNSEEN = 10.0, 1.0
 #: gone so much of the way from a usual training text's to that of random trigrams.
 LEAST_POSTERIOR, LEAST_TRIGRAMS, WAY = 0.5, 40, 0.7
 RANDOM = -float(np.log(BUCKETS))
+#: A training text with fewer trigrams is neither left out nor counted for the usual score.
+LEAST_SCORED = 20
 WORDS = re.compile(r"[^\W\d_]+")
 SLICE_CHARS = 1 << 20
 
@@ -80,43 +82,77 @@ class LanguageModel:
         return out, counts
 
     @classmethod
-    def train(cls, rows: list[tuple[str, str]]) -> LanguageModel:
-        """From (text, language); texts that a first model clearly puts elsewhere are left out of the second."""
-        languages = sorted({lang for _, lang in rows})
-        held = rows
-        for turn in range(2):
-            counts = np.full((BUCKETS, len(languages)), 0.05)
-            for j, lang in enumerate(languages):
-                code, _ = trigrams([t for t, own in held if own == lang])
-                counts[:, j] += np.bincount(code, minlength=BUCKETS)
-            model = cls(languages, np.log(counts / counts.sum(0)).astype(np.float32), 0.0)
-            score, n = model.score([t for t, _ in held])
-            mean = score / np.maximum(n, 1)[:, None]
-            if turn == 0:
-                best = mean.argmax(1)
-                held = [r for r, b, k in zip(held, best, n) if k < 20 or languages[b] == r[1]]
-        fit = mean.max(1)[n >= 20]
-        return cls(languages, model.weights, float(np.median(fit)) if len(fit) else RANDOM)
+    def of(cls, languages: list[str], counts: np.ndarray, usual: float = 0.0) -> LanguageModel:
+        """From trigram counts, languages x buckets."""
+        smooth = counts.T + 0.05
+        return cls(languages, np.log(smooth / smooth.sum(0)).astype(np.float32), usual)
 
+    def keeps(self, score: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Texts too short to tell, and those that the model puts in the language they're labelled with."""
+        return (n < LEAST_SCORED) | (score.argmax(1) == own)
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
-    """Trained on up to per_language rows of each label, fewer where there are many labels."""
+
+def _sample(labelled: DataFrame, text_col: str, label_col: str, per_language: int) -> tuple[DataFrame, list[str]]:
+    """(lang, text) of up to per_language texts of each label, fewer where there are many, and the labels."""
     rows = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
-    top = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").collect()}
-    per_language = min(per_language, max(LEAST_TEXTS, SAMPLE // max(1, len(top))))
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}  # one row a label
+    per_language = min(per_language, max(LEAST_TEXTS, SAMPLE // max(1, len(found))))
     # by hash, so the same texts for the same table: twice as many as asked for are looked at, in one pass
     parts = 1 << 30
     mine = F.pmod(F.xxhash64("text"), F.lit(parts))
-    bounds = [F.lit(x) for lang, n in top.items() for x in (lang, int(min(1.0, 2 * per_language / n) * parts))]
-    picked = mine < F.create_map(*bounds)[F.col("lang")] if top else F.lit(False)
-    likely = rows.where(picked).dropDuplicates(["lang", "text"]).select("lang", "text", mine.alias("x")).limit(4 * per_language * max(1, len(top)))
-    found: list[tuple[str, str]] = []
-    left = dict.fromkeys(top, per_language)
-    for r in sorted(likely.collect(), key=lambda r: (r["x"], r["text"])):
-        if left[r["lang"]]:
-            left[r["lang"]] -= 1
-            found.append((r["text"], r["lang"]))
-    return LanguageModel.train(found) if found else None
+    bounds = [F.lit(x) for lang, n in found.items() for x in (lang, int(min(1.0, 2 * per_language / n) * parts))]
+    picked = rows.where(mine < F.create_map(*bounds)[F.col("lang")] if found else F.lit(False))
+    order = Window.partitionBy("lang").orderBy("x", "text")
+    ranked = picked.dropDuplicates(["lang", "text"]).withColumn("x", mine).withColumn("r", F.row_number().over(order))
+    return written(ranked.where(F.col("r") <= per_language).select("lang", "text"), "language-sample"), sorted(found)
+
+
+def _trigram_counts(sample: DataFrame, languages: list[str], first: LanguageModel | None = None) -> np.ndarray:
+    """languages x buckets: trigrams of the texts that the first model keeps. Texts stay on the executors."""
+    place = {lang: i for i, lang in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("languages")
+        for batch in batches:
+            texts, own = batch.column(1).to_pylist(), np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            keep = first.keeps(*first.score(texts), own) if first else np.ones(len(texts), bool)
+            for j in np.unique(own[keep]).tolist():
+                code, _ = trigrams([t for t, k, x in zip(texts, keep, own) if k and x == j])
+                bucket, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), j, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["j", "bucket", "n"])
+
+    rows = bounded_batches(sample).mapInArrow(run, "j int, bucket int, n bigint").groupBy("j", "bucket").agg(F.sum("n").alias("n")).toPandas()  # the model's size at most
+    out = np.zeros((len(languages), BUCKETS))
+    out[rows["j"].to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return out
+
+
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
+    """Trained on up to per_language rows of each label, fewer where there are many labels.
+
+    Texts that a first model clearly puts elsewhere are left out of the second. Trigrams are counted
+    where the texts are; only counts and scores come to the driver. Null labels, null and empty
+    texts are left out, equal texts of a label count once. None without any labelled text.
+    """
+    with scope():
+        sample, languages = _sample(labelled, text_col, label_col, per_language)
+        if not languages:
+            return None
+        first = LanguageModel.of(languages, _trigram_counts(sample, languages))
+        model = LanguageModel.of(languages, _trigram_counts(sample, languages, first))
+        place = {lang: i for i, lang in enumerate(languages)}
+
+        def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("languages")
+            for batch in batches:
+                texts, own = batch.column(1).to_pylist(), np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+                keep = first.keeps(*first.score(texts), own)
+                score, n = model.score(texts)
+                yield pa.RecordBatch.from_arrays([pa.array((score.max(1) / np.maximum(n, 1))[keep & (n >= LEAST_SCORED)])], names=["mean"])
+
+        scores = bounded_batches(sample).mapInArrow(means, "mean double").toPandas()["mean"]  # a number for each text of the sample
+        model.usual = float(np.median(scores)) if len(scores) else RANDOM
+        return model
 
 
 def identify(
@@ -131,13 +167,13 @@ def identify(
     Repeated rows are judged alike. Rows are neither dropped nor joined by id, so null ids are fine.
     """
     languages = model.languages if model else []
-    none = F.lit(None).cast("string")
+    lower = lambda c: F.coalesce(F.lower(c), F.lit("")) if c is not None else F.lit("")
     base = bounded_batches(docs).select(
         F.struct(*id_cols).alias("key"),
         text.alias("text"),
-        F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})\b", 1)).alias("declared") if declared is not None else none.alias("declared"),
-        F.lower(host).alias("host") if host is not None else none.alias("host"),
-        F.lower(suffix).alias("suffix") if suffix is not None else none.alias("suffix"),
+        lower(None if declared is None else F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})\b", 1)).alias("declared"),
+        lower(host).alias("host"),
+        lower(suffix).alias("suffix"),
     )
     if model is None:
         blank = {"lang": F.lit("und"), "posterior": F.lit(0.0), "text_lang": F.lit("und"), "n_trigrams": F.lit(0).cast("long"), "accepted": F.lit(False)}
@@ -158,30 +194,33 @@ def identify(
             )
 
     key = base.schema["key"].dataType.simpleString()
-    scored = written(base.mapInArrow(run, f"key {key}, declared string, host string, suffix string, ll array<double>, n bigint, odd boolean"), "langid")
     share = lambda x: (lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))(F.transform(x, lambda v: F.exp(v - F.array_max(x))))
-    soft = scored.withColumn("p", share(F.col("ll")))
     k = range(len(languages))
-    sums = [F.sum(F.when(~F.col("odd"), F.col("p")[i]).otherwise(0.0)).alias(f"n{i}") for i in k]
+    levels = ("declared", "suffix", "domain", "host")
     vector = F.array(*[f"n{i}" for i in k])
-
-    def counted(by: str) -> DataFrame:
-        return soft.where(F.col(by).isNotNull() & (F.col(by) != "")).groupBy(by).agg(*sums).select(by, vector.alias(f"{by}_n"))
+    with scope() as held:
+        scored = written(base.mapInArrow(run, f"key {key}, declared string, host string, suffix string, ll array<double>, n bigint, odd boolean"), "langid")
+        domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+        soft = scored.withColumn("p", share(F.col("ll"))).withColumn("domain", F.when(domain != "", domain).otherwise(F.col("host")))
+        # one row for each set of evidence that occurs; the levels' counts are sums of these, and rows meet them in one join
+        sets = written(soft.groupBy(*levels).agg(*[F.sum(F.when(~F.col("odd"), F.col("p")[i]).otherwise(0.0)).alias(f"n{i}") for i in k]), "evidence-sets")
+        counts = sets.agg(*[F.sum(f"n{i}") for i in k]).first()  # one number for each language
+        evidence = sets.select(*levels)
+        for by in levels:
+            sums = sets.where(F.col(by) != "").groupBy(by).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in k])
+            evidence = evidence.join(sums.select(by, vector.alias(f"{by}_n")), by, "left")
+        evidence = written(evidence, "evidence")
+        held.keep(scored, evidence)
 
     def toward(n: Column, parent: Column) -> Column:
         """Counts smoothed towards the parent's distribution."""
         total = F.aggregate(n, F.lit(0.0), lambda a, b: a + b)
         return F.transform(F.arrays_zip(n.alias("n"), parent.alias("q")), lambda z: (z["n"] + PRIOR_ROWS * z["q"]) / (total + PRIOR_ROWS))
 
-    counts = soft.agg(*sums).first()  # one number for each language
     everything = F.array(*[F.lit(float(v or 0)) for v in counts])
     flat = F.array(*[F.lit(1.0 / len(languages))] * len(languages))
-    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    soft = soft.withColumn("domain", F.when(domain != "", domain).otherwise(F.col("host")))
     # declared and suffix: P(value | language), from the same counts
-    joined = soft
-    for by in ("declared", "suffix", "domain", "host"):
-        joined = joined.join(counted(by), by, "left")
+    joined = soft.join(evidence, list(levels))
     zero = F.array(*[F.lit(0.0)] * len(languages))
     n = lambda by: F.coalesce(F.col(f"{by}_n"), zero)
     mine = F.when(F.col("odd"), zero).otherwise(F.col("p"))

@@ -17,6 +17,7 @@ the corpus are sorted. Each carries the context of the strings that its anchor s
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,14 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim, discard, written
+from .common import bounded_batches, claim, discard, scope, written
 
 LENGTH = 200
 K = 24
 SLICE_BYTES = 1 << 20
 #: Bytes of suffixes that a task sorts into one run, and that one range merges, about.
 RUN_BYTES, RANGE_BYTES = 32 << 20, 12 << 20
-SPLITTERS = 4_000
+#: Splitters that the driver holds, at most, and sampled keys for each. Beyond that a range is dealt further by a hash of its keys' K bytes.
+SPLITTERS, SAMPLED = 16_384, 16
 
 _u64 = np.uint64
 _rng = np.random.default_rng(20240611)
@@ -253,132 +255,143 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """The documents' rows (d, th, text) and, by (d, th), the spans of bytes to remove.
 
     th is a hash of the text, so rows that repeat an id are told apart; equal rows have equal spans.
+    Only spans is an intermediate that stays.
     """
-    spark = docs.sparkSession
-    k = min(K, length)
-    base = bounded_batches(docs).select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    kind = base.schema["d"].dataType.simpleString()
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _claim()
-        for batch in batches:
-            texts, at = batch.column(2).cast(pa.large_binary()), 0
-            sizes = texts.fill_null(b"")
-            n_bytes = np.diff(np.frombuffer(sizes.buffers()[1], np.int64, len(sizes) + 1, 8 * sizes.offset))
-            while at < len(batch):
-                stop = max(at + 1, at + int(np.searchsorted(np.cumsum(n_bytes[at:]), SLICE_BYTES)))
-                part = [x or b"" for x in texts.slice(at, stop - at).to_pylist()]
-                # a text beyond the places that a packed minimum can tell apart is cut into overlapping pieces
-                for first, starts, ends, raw in _chunks(part, length):
-                    doc, place, lo, hi, h = anchors(raw, starts, ends, length, k)
-                    if len(doc):
-                        off = first[doc] - starts[doc]
-                        row = pa.array(at + doc)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(row), batch.column(1).take(row), pa.array(place + off), pa.array((place - lo).astype(np.int16)), pa.array((place - hi).astype(np.int16)), pa.array(h.view(np.int64))],
-                            names=["d", "th", "p", "before", "least", "h"],
-                        )
-                at = stop
-
-    found = written(base.where(F.octet_length("text") >= length).mapInArrow(find, f"d {kind}, th bigint, p bigint, before short, least short, h bigint"), "anchors")
-    # written, so that the join has an exchange on either side and a common hash's rows can be split
-    twice = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    per_doc = written(found.join(twice, "h", "left_semi").groupBy("d", "th").agg(F.collect_set(F.struct("p", "before", "least")).alias("at")), "candidates")
-    discard(found, twice)
-    own = per_doc.withColumnsRenamed({"d": "d2", "th": "th2"})
-    texts = base.join(own, base["d"].eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2"))).select("d", "th", "text", "at")
-    total = per_doc.agg(F.sum(F.size("at"))).first()[0] or 0
-    ranges = int(max(1, -(-total * 285 // RANGE_BYTES)))
-    picked = texts.where(F.pmod(F.xxhash64("th"), F.lit(max(1, int(total // (64 * SPLITTERS))))) == 0) if ranges > 1 else None
-    splitters: list[bytes] = []
-    if picked is not None:
-        sampled = picked.select(F.substring(F.col("text").cast("binary"), (F.get("at", F.lit(0))["p"] + 1).cast("int"), F.lit(k)).alias("s")).limit(SPLITTERS).toPandas()["s"]
-        ordered = sorted(set(map(bytes, sampled)))
-        splitters = sorted({ordered[i * len(ordered) // ranges] for i in range(1, ranges)}) if ordered else []
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of pieces of runs (range, run, blob), and rows of the runs' members (run, number, d, th, p)."""
-        _claim()
-        task, turn, held, size = TaskContext.get().partitionId(), 0, [], 0
-        cuts = [s[:k] for s in splitters]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal turn, held, size
-            run = task * 1_000_000 + turn
-            turn, size = turn + 1, 0
-            held.sort(key=lambda x: x[0])
-            keys, sizes, counts, members = [], [], [], []
-            for key, f, d, th, p in held:
-                if keys and keys[-1] == key:
-                    counts[-1] += 1
-                else:
-                    keys.append(key)
-                    sizes.append(f)
-                    counts.append(1)
-                members.append((run, len(keys) - 1, d, th, p))
-            held = []
-            edges = [0]
-            for s in cuts:
-                a, b = edges[-1], len(keys)
-                while a < b:  # the first key whose K bytes are not below the splitter
-                    m = (a + b) // 2
-                    a, b = (m + 1, b) if keys[m][:k] < s else (a, m)
-                edges.append(a)
-            edges.append(len(keys))
-            blobs = [(i, run, Run.encode(keys[a:b], sizes[a:b], counts[a:b], list(range(a, b)))) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-            for i in range(0, len(members), 50_000):
-                r, n, d, th, p = zip(*members[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int32()), pa.array(r, pa.int64()), pa.nulls(len(r), pa.binary()), pa.array(n, pa.int32()), pa.array(d, id_type), pa.array(th, pa.int64()), pa.array(p, pa.int64())], names=names)
-            for part, r, blob in blobs:
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
-
-        names = ["part", "run", "blob", "number", "d", "th", "p"]
-        for batch in batches:
-            id_type = batch.column(0).type
-            for i in range(len(batch)):
-                d, th, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode()
-                for x in batch.column(3)[i].as_py():
-                    p, before, least = x["p"], x["before"], x["least"]
-                    suffix = raw[p : p - least + length]
-                    key = suffix + END + raw[p - before : p][::-1]
-                    held.append((key, len(suffix), d, th, p))
-                    size += len(key)
-                if size >= RUN_BYTES:
-                    yield from flush()
-        if held:
-            yield from flush()
-
-    runs = written(texts.mapInArrow(sort, f"part int, run bigint, blob binary, number int, d {kind}, th bigint, p bigint"), "runs")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        names = part["run"].tolist()
-        out: list[tuple[int, int, int, int]] = []
-        group: list[tuple[bytes, int, list[tuple[int, int]], int]] = []
-
-        def settle() -> None:
-            if len(group) > 1 or group and group[0][3] > 1:
-                contexts = [(key[:f], key[f + 1 :], n) for key, f, _, n in group]
-                for spans, (_, _, owners, _) in zip(repeated_offsets(contexts, length), group):
-                    for a, b in _joined([(a, b + 1) for a, b in spans]):
-                        out.extend((run, number, a, b - 1) for run, number in owners)
-
-        for key, shared, f, count, number, run in merge([Run.decode(b) for b in part["blob"]]):
-            if group and shared == len(key) == len(group[-1][0]):
-                last = group[-1]
-                last[2].append((names[run], number))
-                group[-1] = (last[0], last[1], last[2], last[3] + count)
-                continue
-            if group and shared < k:
-                settle()
-                group = []
-            group.append((key, f, [(names[run], number)], count))
-        settle()
-        return pd.DataFrame(out, columns=["run", "number", "o1", "o2"])
-
-    hits = runs.where("part is not null").select("part", "run", "blob").groupBy("part").applyInPandas(compare, "run bigint, number int, o1 int, o2 int")
-    members = runs.where("number is not null").select("run", "number", "d", "th", "p")
-    spans = members.join(hits, ["run", "number"]).select("d", "th", (F.col("p") - F.col("o2")).alias("a"), (F.col("p") - F.col("o1") + length).alias("b"))
-    return base, written(spans.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    with scope() as held:
+        k = min(K, length)
+        base = bounded_batches(docs).select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+        kind = base.schema["d"].dataType.simpleString()
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _claim()
+            for batch in batches:
+                texts, at = batch.column(2).cast(pa.large_binary()), 0
+                sizes = texts.fill_null(b"")
+                n_bytes = np.diff(np.frombuffer(sizes.buffers()[1], np.int64, len(sizes) + 1, 8 * sizes.offset))
+                while at < len(batch):
+                    stop = max(at + 1, at + int(np.searchsorted(np.cumsum(n_bytes[at:]), SLICE_BYTES)))
+                    part = [x or b"" for x in texts.slice(at, stop - at).to_pylist()]
+                    # a text beyond the places that a packed minimum can tell apart is cut into overlapping pieces
+                    for first, starts, ends, raw in _chunks(part, length):
+                        doc, place, lo, hi, h = anchors(raw, starts, ends, length, k)
+                        if len(doc):
+                            off = first[doc] - starts[doc]
+                            row = pa.array(at + doc)
+                            yield pa.RecordBatch.from_arrays(
+                                [batch.column(0).take(row), batch.column(1).take(row), pa.array(place + off), pa.array((place - lo).astype(np.int16)), pa.array((place - hi).astype(np.int16)), pa.array(h.view(np.int64))],
+                                names=["d", "th", "p", "before", "least", "h"],
+                            )
+                    at = stop
+
+        found = written(base.where(F.octet_length("text") >= length).mapInArrow(find, f"d {kind}, th bigint, p bigint, before short, least short, h bigint"), "anchors")
+        # written, so that the join has an exchange on either side and a common hash's rows can be split
+        twice = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+        per_doc = written(found.join(twice, "h", "left_semi").groupBy("d", "th").agg(F.collect_set(F.struct("p", "before", "least")).alias("at")), "candidates")
+        discard(found, twice)
+        own = per_doc.withColumnsRenamed({"d": "d2", "th": "th2"})
+        texts = base.join(own, base["d"].eqNullSafe(F.col("d2")) & (F.col("th") == F.col("th2"))).select("d", "th", "text", "at")
+        total = per_doc.agg(F.sum(F.size("at"))).first()[0] or 0
+        ranges = int(max(1, -(-total * 285 // RANGE_BYTES)))
+        splitters: list[bytes] = []
+        if ranges > 1:
+            # all anchors of a hash sample of the documents: about SAMPLED keys for each splitter
+            wanted = min(ranges, SPLITTERS)
+            picked = texts.where(F.pmod(F.xxhash64("th"), F.lit(max(1, int(total // (SAMPLED * wanted))))) == 0).select("text", F.explode("at.p").alias("p"))
+            sampled = picked.select(F.substring(F.col("text").cast("binary"), (F.col("p") + 1).cast("int"), F.lit(k)).alias("s")).toPandas()["s"]
+            ordered = sorted(map(bytes, sampled))
+            splitters = sorted({ordered[i * len(ordered) // wanted] for i in range(1, wanted)}) if ordered else []
+        parts = -(-ranges // (len(splitters) + 1))
+
+        def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows of pieces of runs (range, run, blob), and rows of the runs' members (run, number, d, th, p)."""
+            _claim()
+            task, turn, held, size = TaskContext.get().partitionId(), 0, [], 0
+            cuts = [s[:k] for s in splitters]
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                nonlocal turn, held, size
+                run = task * 1_000_000 + turn
+                turn, size = turn + 1, 0
+                held.sort(key=lambda x: x[0])
+                keys, sizes, counts, members = [], [], [], []
+                for key, f, d, th, p in held:
+                    if keys and keys[-1] == key:
+                        counts[-1] += 1
+                    else:
+                        keys.append(key)
+                        sizes.append(f)
+                        counts.append(1)
+                    members.append((run, len(keys) - 1, d, th, p))
+                held = []
+                edges = [0]
+                for s in cuts:
+                    a, b = edges[-1], len(keys)
+                    while a < b:  # the first key whose K bytes are not below the splitter
+                        m = (a + b) // 2
+                        a, b = (m + 1, b) if keys[m][:k] < s else (a, m)
+                    edges.append(a)
+                edges.append(len(keys))
+                blobs = []
+                for i, (a, b) in enumerate(zip(edges, edges[1:])):
+                    dealt: dict[int, list[int]] = defaultdict(list)
+                    for j in range(a, b):
+                        dealt[zlib.crc32(keys[j][:k]) % parts if parts > 1 else 0].append(j)
+                    blobs += [(i * parts + x, run, Run.encode([keys[j] for j in own], [sizes[j] for j in own], [counts[j] for j in own], own)) for x, own in dealt.items()]
+                for i in range(0, len(members), 50_000):
+                    r, n, d, th, p = zip(*members[i : i + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()), pa.array(r, pa.int64()), pa.nulls(len(r), pa.binary()), pa.array(n, pa.int32()), pa.array(d, id_type), pa.array(th, pa.int64()), pa.array(p, pa.int64())], names=names)
+                for part, r, blob in blobs:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([r], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
+
+            names = ["part", "run", "blob", "number", "d", "th", "p"]
+            for batch in batches:
+                id_type = batch.column(0).type
+                for i in range(len(batch)):
+                    d, th, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode()
+                    for x in batch.column(3)[i].as_py():
+                        p, before, least = x["p"], x["before"], x["least"]
+                        suffix = raw[p : p - least + length]
+                        key = suffix + END + raw[p - before : p][::-1]
+                        held.append((key, len(suffix), d, th, p))
+                        size += len(key)
+                    if size >= RUN_BYTES:
+                        yield from flush()
+            if held:
+                yield from flush()
+
+        runs = written(texts.mapInArrow(sort, f"part bigint, run bigint, blob binary, number int, d {kind}, th bigint, p bigint"), "runs")
+
+        def compare(part: pd.DataFrame) -> pd.DataFrame:
+            names = part["run"].tolist()
+            out: list[tuple[int, int, int, int]] = []
+            group: list[tuple[bytes, int, list[tuple[int, int]], int]] = []
+
+            def settle() -> None:
+                if len(group) > 1 or group and group[0][3] > 1:
+                    contexts = [(key[:f], key[f + 1 :], n) for key, f, _, n in group]
+                    for spans, (_, _, owners, _) in zip(repeated_offsets(contexts, length), group):
+                        for a, b in _joined([(a, b + 1) for a, b in spans]):
+                            out.extend((run, number, a, b - 1) for run, number in owners)
+
+            for key, shared, f, count, number, run in merge([Run.decode(b) for b in part["blob"]]):
+                if group and shared == len(key) == len(group[-1][0]):
+                    last = group[-1]
+                    last[2].append((names[run], number))
+                    group[-1] = (last[0], last[1], last[2], last[3] + count)
+                    continue
+                if group and shared < k:
+                    settle()
+                    group = []
+                group.append((key, f, [(names[run], number)], count))
+            settle()
+            return pd.DataFrame(out, columns=["run", "number", "o1", "o2"])
+
+        hits = runs.where("part is not null").select("part", "run", "blob").groupBy("part").applyInPandas(compare, "run bigint, number int, o1 int, o2 int")
+        members = runs.where("number is not null").select("run", "number", "d", "th", "p")
+        spans = members.join(hits, ["run", "number"]).select("d", "th", (F.col("p") - F.col("o2")).alias("a"), (F.col("p") - F.col("o1") + length).alias("b"))
+        spans = written(spans.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+        held.keep(spans)
+        return base, spans
 
 
 PIECE = 1 << 20
