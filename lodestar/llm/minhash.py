@@ -5,32 +5,31 @@ least hash; an empty bin borrows from a bin that a universal hash of (bin, attem
 Bands of ROWS bins give buckets. Documents with equal shingle sets are one class before that.
 
 In each bucket every member is paired with one centre only, so a bucket of n gives n - 1 pairs.
-Pairs are confirmed on the full sets. Bands choose different centres, and a bucket whose
-members aren't in one component yet gets further turns with HEADS of its best-linked members as
-centres, until these find no more links. Buckets of up to SMALL_BUCKET members are settled by all
-their open pairs. Every turn thus makes a number of pairs in proportion to the members.
-
-The members of large buckets that are still mixed then are settled by an exact join. A document's
-shingles are put in one order for all, rarest first. Two linked documents' first common shingle is
-then among the first quarter of either's, and enough shingles follow it in both.
+Pairs are confirmed on the full sets, and bands choose different centres. Buckets whose members
+aren't in one component then are settled exactly: those of up to SMALL_BUCKET members by their
+open pairs, the members of all larger ones by a prefix join. For that a document's shingles
+are put in one order for all, rarest first. Two linked documents' first common shingle is then
+among the first seventh of the smaller set and the first quarter of the larger, and enough
+shingles follow it in both; only pairs that meet there and can still be linked are confirmed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim, components, discard, is_empty, written
+from .common import bounded_batches, claim, components, discard, is_empty, scope, written
 
 WORDS, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 SLICE_BYTES = 1 << 20
-#: A mixed bucket of up to so many members is settled by all its open pairs at once, a constant number for each.
-SMALL_BUCKET, HEADS = 8, 3
+#: A mixed bucket of up to so many members is settled by its open pairs, a constant number for each; a larger one by the prefix join.
+SMALL_BUCKET = 8
 
 _u64 = np.uint64
 
@@ -152,129 +151,166 @@ def _features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                sets = shingle_sets(part.column(1).to_pylist())
+                sets = shingle_sets(part.column(2).to_pylist())
                 keys = band_keys(sets)
                 with np.errstate(over="ignore"):
                     h1 = [int(np.add.reduce(s, dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
                     h2 = [int(np.bitwise_xor.reduce(_mix(s + _u64(77))).view(np.int64)) if len(s) else 0 for s in sets]
                 bands = [k if len(s) else None for k, s in zip(keys, sets)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "n", "h1", "h2", "bands"],
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["id", "th", "n", "h1", "h2", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "id bigint, th bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    return docs.mapInArrow(run, "id bigint, hashes array<bigint>")
+    return texts.mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, first: bool = False) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold. The first turn's documents grow with the corpus: they're never broadcast."""
-    sized = pairs
-    wanted = sized.select(F.col("a").alias("id")).unionAll(sized.select(F.col("b").alias("id"))).distinct()
-    wanted = wanted.hint("merge") if first else wanted
-    sets = written(_sets(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
-    both = sized.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    common = F.size(F.array_intersect("ha", "hb"))
-    out = written(both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
-    discard(sets)
-    return out
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of wanted (node, id, th)."""
+    keys = wanted.select("node", F.col("id").alias("_id"), F.col("th").alias("_th"))
+    return docs.join(keys, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets meet the threshold."""
+    with scope() as held:
+        named = classes.select("node", "rep.id", "rep.th")
+        wanted = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(named, "node"), "wanted")
+        sets = written(_sets(_texts(docs, wanted)), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+        common = F.size(F.array_intersect("ha", "hb"))
+        links = written(both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
+        held.keep(links)
+        return links
+
+
+def _size_class(n: str) -> Column:
+    """Sizes that allow a link are in one class or in neighbouring ones."""
+    return F.floor(F.log(F.col(n)) / F.lit(log(100 / PERCENT))).cast("int")
 
 
 def _unsettled(opened: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of opened (id, n, component) in different components: all that meet the threshold are among them.
+    """Pairs (a, b) of opened (node, id, th, n, component) in different components: all that meet the threshold are among them.
 
     A shingle that only one component holds can't be common to a pair: it comes before all others.
-    Components meet at a shingle before their members do, so a component's own pairs are never made.
+    Of a linked pair's sets the smaller one, x, has 2 * PERCENT / (100 + PERCENT) of itself from
+    their first common shingle on, so only such places are an index; sets without one are never met
+    as the smaller. Components meet at a shingle before their members do, so a component's own pairs are never made.
     """
-    sets = written(_sets(docs.join(opened.select("id"), "id", "left_semi").dropDuplicates(["id"])).join(opened, "id"), "opened")
-    tokens = sets.select("id", "n", "component", F.explode("hashes").alias("t"))
-    shared = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t", "df")
-    ordered = tokens.join(shared, "t").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-    alone = F.col("n") - F.size("s")
-    first = ordered.withColumn("alone", alone).where("alone <= n div 4").withColumn("s", F.expr("slice(s, 1, cast(n div 4 + 1 - alone as int))"))
-    # rest: the shingles from this one on
-    first = written(first.select("id", "n", "component", "alone", F.posexplode("s").alias("at", "x")).select("id", "n", "component", F.col("x.t").alias("t"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest")), "first")
-    groups = first.groupBy("t", "component").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
-    # common / (x + y - common) >= PERCENT / 100
-    enough = lambda x, y: (100 + PERCENT) * F.least(f"rest{x}", f"rest{y}") >= PERCENT * (F.col(f"n{x}") + F.col(f"n{y}"))
-    side = lambda df, x, *more: df.select("t", *more, *[F.col(c).alias(f"{c}{x}") for c in ("component", "n", "rest")])
-    meet = side(groups, "x").join(side(groups, "y"), "t").where((F.col("componentx") < F.col("componenty")) & enough("x", "y")).select("t", "componentx", "componenty")
-    out = meet.join(side(first, "x", F.col("id").alias("x")), ["t", "componentx"]).join(side(first, "y", F.col("id").alias("y")), ["t", "componenty"])
-    out = written(out.where(enough("x", "y")).select(*_pair("x", "y")).distinct(), "pairs")
-    discard(sets, first)
-    return out
+    with scope() as held:
+        sets = written(_sets(_texts(docs, opened)).join(opened.select("node", "n", "component"), "node"), "opened-sets")
+        tokens = sets.select("node", "n", "component", F.explode("hashes").alias("t"))
+        shared = written(tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t", "df"), "shared")
+        ordered = tokens.join(shared, "t").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+        alone = F.col("n") - F.size("s")
+        quarter = F.floor(F.col("n") * (100 - PERCENT) / 100)
+        first = ordered.withColumn("alone", alone).where(F.col("alone") <= quarter).withColumn("s", F.slice("s", 1, (quarter + 1 - F.col("alone")).cast("int")))
+        # rest: the shingles from this one on
+        placed = first.select("node", "n", "component", "alone", F.posexplode("s").alias("at", "x"))
+        large = written(placed.select("node", "n", "component", F.col("x.t").alias("t"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), _size_class("n").alias("size")), "first")
+        small = large.where((100 + PERCENT) * F.col("rest") >= 2 * PERCENT * F.col("n")).withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1)))
+        side = lambda df, x: df.select("t", "size", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c not in ("t", "size")])
+        # common / (x + y - common) >= PERCENT / 100
+        enough = (F.col("nx") <= F.col("ny")) & ((100 + PERCENT) * F.least("restx", "resty") >= PERCENT * (F.col("nx") + F.col("ny")))
+        # a component's sets of one size that have the shingle, by their best place
+        best = lambda df: df.groupBy("t", "size", "component", "n").agg(F.max("rest").alias("rest"), F.count("*").alias("many"))
+        meet = side(best(small), "x").join(side(best(large), "y"), ["t", "size"]).where((F.col("componentx") != F.col("componenty")) & enough)
+        meet = written(meet.drop("restx", "resty"), "meet")
+        # the side with fewer members first, so that a large group's are met once, by those that may be linked
+        x, y = (["t", "size", f"component{i}", f"n{i}"] for i in "xy")
+        fewer = F.col("manyx") <= F.col("manyy")
+        one = meet.where(fewer).join(side(small, "x"), x).join(side(large, "y"), y).where(enough)
+        other = meet.where(~fewer).join(side(large, "y"), y).join(side(small, "x"), x).where(enough)
+        pairs = written(one.select(*_pair("nodex", "nodey")).unionAll(other.select(*_pair("nodex", "nodey"))).distinct(), "pairs")
+        held.keep(pairs)
+        return pairs
 
 
 def _pair(x: str, y: str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _best() -> Column:
-    """(id, n, component) of the best-linked member in each of HEADS hash classes of a bucket."""
-    row = F.struct("degree", "id", "n", "component")
-    return F.array_compact(F.array(*[F.max(F.when(F.pmod(F.xxhash64("id"), F.lit(HEADS)) == i, row)) for i in range(HEADS)]))
+def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(node, component) of the linked classes; None if there are no links."""
+    alike = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes that allow the similarity
+    slots = classes.select("node", "n", F.explode("bands").alias("key"))
+    # the centre differs from band to band: the least hash of (node, key)
+    least = F.min(F.struct(F.xxhash64("node", "key").alias("x"), F.col("node").alias("c"), F.col("n").alias("nc")))
+    centres = written(slots.groupBy("key").agg(F.count("*").alias("m"), least.alias("low")).where("m > 1").select("key", "m", "low.c", "low.nc"), "centres")
+    members = written(slots.join(centres, "key"), "buckets")
+    discard(centres)
+    tried = written(members.where((F.col("node") != F.col("c")) & alike("n", "nc")).select(*_pair("node", "c")).distinct(), "tried")
+    links = _confirmed(tried, docs, classes)
+    joined = written(components(links), "joined") if not is_empty(links) else None
+    now = members.select("key", "m", "node", "n")
+    if joined is not None:
+        now = now.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    else:
+        now = now.withColumn("component", F.col("node"))
+    now = written(now, "placed")
+    discard(members)
+    mixed = written(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
+    left, right = (now.where(F.col("m") <= SMALL_BUCKET).join(mixed, "key").select("key", F.col("node").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "xy")
+    pairs = left.join(right, "key").where((F.col("cx") < F.col("cy")) & alike("nx", "ny")).select(*_pair("x", "y"))
+    opened = now.where(F.col("m") > SMALL_BUCKET).join(mixed, "key").select("node", "n", "component").distinct()
+    opened = written(opened.join(classes.select("node", "rep.id", "rep.th"), "node"), "opened")
+    if not is_empty(opened):
+        pairs = pairs.unionAll(_unsettled(opened, docs))
+    rest = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    discard(now, mixed, opened)
+    if not is_empty(rest):
+        more = _confirmed(rest, docs, classes)
+        if not is_empty(more):
+            joined = components(links.unionAll(more))
+    return joined
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for each row of docs.
+    """id, n_shingles, component_id, kept for each row of docs, then text_hash and group.
 
     Words are runs of bytes other than ASCII white space, A-Z as a-z. A text of fewer than five
-    words is one shingle; one without words, or null, has none and links with nothing. Rows that
-    repeat an id are judged as one document by the first of their texts in sort order; a null id
-    links with nothing. Other columns are ignored. An empty table gives an empty result.
+    words is one shingle; one without words, or null, has none and links with nothing; so does
+    a null id. Rows that repeat an id are judged each by its own text: each has the smallest id
+    that its own text reaches. group tells the components apart where ids can't (null where a row
+    links with nothing), and text_hash is xxhash64 of the text. Other columns are ignored. An
+    empty table gives an empty result.
     """
-    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = written(_features(base), "shingles")
-    live = feats.where("n > 0 and id is not null")
-    classes = live.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    reps = written(live.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "reps")
-    slots = reps.select("id", "n", F.explode("bands").alias("key"))
-    alike = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes that allow the similarity
-    # the centre differs from band to band: the least hash of (id, key)
-    centres = slots.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "key").alias("x"), F.col("id").alias("c"), F.col("n").alias("nc"))).alias("low")).where("m > 1")
-    members = written(slots.join(centres.select("key", "m", "low.c", "low.nc"), "key"), "buckets")
-    tried = written(members.where((F.col("id") != F.col("c")) & alike("n", "nc")).select(*_pair("id", "c")).distinct(), "tried")
-    links, joined, turn = _confirmed(tried, base, first=True), None, 0
-    while True:
-        joined = written(components(links), "turn") if not is_empty(links) else None
-        now = members.select("key", "m", "id", "n")
-        now = now.join(joined.select(F.col("node").alias("id"), "component"), "id", "left") if joined is not None else now.withColumn("component", F.lit(None).cast("long"))
-        now = now.withColumn("component", F.coalesce("component", "id"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-        ranked = written(now.join(mixed, "key").join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
-        large = ranked.where(F.col("m") > SMALL_BUCKET)
-        heads = large.groupBy("key").agg(_best().alias("top"))
-        heads = heads.select("key", F.explode("top").alias("h")).select("key", F.col("h.id").alias("c"), F.col("h.n").alias("nc"), F.col("h.component").alias("cc"))
-        pairs = large.join(heads, "key").where((F.col("component") != F.col("cc")) & alike("n", "nc")).select(*_pair("id", "c"))
-        if turn == 0:
-            small = ranked.where(F.col("m") <= SMALL_BUCKET)
-            left, right = (small.select("key", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "xy")
-            pairs = pairs.unionAll(left.join(right, "key").where((F.col("cx") < F.col("cy")) & alike("nx", "ny")).select(*_pair("x", "y")))
-        new = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        found = None if is_empty(new) else _confirmed(new, base)
-        if found is None or is_empty(found):
-            break
-        discard(ranked)
-        tried, links, turn = written(tried.unionAll(new), "tried"), written(links.unionAll(found), "links"), turn + 1
-    if not is_empty(large):
-        opened = written(large.select("id", "n", "component").distinct(), "opened")
-        rest = _unsettled(opened, base).join(tried.unionAll(new), ["a", "b"], "left_anti")
-        found = None if is_empty(rest) else _confirmed(rest, base)
-        if found is not None and not is_empty(found):
-            joined = written(components(links.unionAll(found)), "turn")
-    names = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left") if joined is not None else classes.withColumn("component", F.lit(None).cast("long"))
-    names = names.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = feats.select("id", "n", "h1", "h2").join(names, ["n", "h1", "h2"], "left").withColumn("component", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+    with scope() as held:
+        base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+        feats = written(_features(base), "shingles")
+        live = feats.where("n > 0 and id is not null")
+        # numbered as they are written, so that a class has a number of its own even if ids repeat
+        classes = live.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("bands").alias("bands"))
+        classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        joined = _links(classes, base)
+        names = classes.select("n", "h1", "h2", "node", F.col("rep.id").alias("least"))
+        if joined is None:
+            names = names.select("n", "h1", "h2", F.col("node").alias("group"), F.col("least").alias("component"))
+        else:
+            named = written(names.join(joined, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "named")
+            smallest = written(named.groupBy("group").agg(F.min("least").alias("component")), "smallest")
+            names = named.drop("least").join(smallest, "group").select("n", "h1", "h2", "group", "component")
+        names = written(names, "names")
+        held.keep(feats, names)
+        linked = (F.col("n") > 0) & F.col("id").isNotNull()
+        out = feats.select("id", "th", "n", "h1", "h2").join(names, ["n", "h1", "h2"], "left").withColumn("component", F.when(linked, F.col("component")).otherwise(F.col("id")))
+        return out.select(
+            F.col("id").alias(id_col),
+            F.col("n").alias("n_shingles"),
+            F.col("component").alias("component_id"),
+            F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
+            F.col("th").alias("text_hash"),
+            F.when(linked, F.col("group")).alias("group"),
+        )

@@ -46,7 +46,7 @@ def op4_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
