@@ -16,8 +16,16 @@ def is_valid(col: str) -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def valid_vectors(df: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
-    return df.where(is_valid(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), *more)
+def valid_vectors(df: DataFrame, id_col: str, vector_col: str, *more: str | Column, every: bool = False) -> DataFrame:
+    """id, v and more of the rows with a valid vector; of every row, with a null v for the others, if asked for.
+
+    Components stay float or double as they are; other numbers become double.
+    """
+    kind = df.schema[vector_col].dataType.elementType.simpleString()
+    v = F.col(vector_col).cast(f"array<{kind if kind in ('float', 'double') else 'double'}>")
+    if every:
+        return df.select(F.col(id_col).alias("id"), F.when(is_valid(vector_col), v).alias("v"), *more)
+    return df.where(is_valid(vector_col)).select(F.col(id_col).alias("id"), v.alias("v"), *more)
 
 
 def matrix(column) -> np.ndarray:
@@ -27,8 +35,11 @@ def matrix(column) -> np.ndarray:
 
 def sample(vectors: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Up to `rows` distinct vectors, the same for the same table: a bounded training sample."""
-    picked = vectors.select("v").orderBy(F.xxhash64("v")).limit(2 * rows).distinct().limit(rows).toPandas()["v"]
-    return matrix(sorted(map(tuple, picked)))
+    h = F.xxhash64("v")
+    n = vectors.agg(F.approx_count_distinct(h)).first()[0] or 1
+    parts = 1 << 30
+    likely = vectors.where(F.pmod(h, F.lit(parts)) < int(min(1.0, 1.5 * rows / n) * parts)).select("v").distinct()
+    return matrix(sorted(map(tuple, likely.orderBy(F.xxhash64("v")).limit(rows).toPandas()["v"])))
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
