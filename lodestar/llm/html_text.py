@@ -1,11 +1,12 @@
 """Main-text extraction by tag-path ratios.
 
-Each page is cut into text nodes with their root-to-leaf tag path (block-level tags and links,
-with their class, id and role). For every path the text length, punctuation and node count are
-summed; the length and punctuation ratios are smoothed over neighbouring paths in page order,
-fused, and paths above a threshold are content. Their common container and the branches beside it
-that read like it (headings, lists, text of comparable length) give the content nodes: everything
-in them is kept but what its own tags or names say is page furniture.
+Each page is cut into text nodes with their root-to-leaf tag path (block-level tags with their
+classes). For every path the text length, punctuation, link text and number of blocks are summed.
+A path's length and punctuation for each block are its ratios; they are smoothed with those of the paths
+next to it in page order, as far as these share ancestors, and fused with the share of link text
+and what names and elements say. Paths whose score reaches HIGH of the best one are content. So
+are those that reach LOW in the element that holds them all, and whole branches beside it
+that read like it. Nodes are kept by their paths.
 """
 
 from __future__ import annotations
@@ -29,51 +30,74 @@ CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"
 OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "div", "nav", "aside", "td", "form", "header", "footer", "blockquote"}
 FURNITURE = {"nav", "aside", "footer", "form", "menu", "dialog"}
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|side|breadcrumbs?|footer|foot|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|widget|pagination|pager|copyright|skip)(?:$|[-_\s\d])",
-    re.I,
+FURNITURE_WORDS = set(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu sidebar breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login comment comments disqus replies respond related recommended recommendations share sharing social widget pagination pager copyright skip".split()
 )
+NEUTRAL_WORDS = set("area article bar block blog body bottom box boxes button buttons center col column container content footer group header holder inner item items left link links list main outer page panel post posts right row section site story text thread top unit wrap wrapper".split())
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？：；]")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-SMOOTH = (0.25, 0.5, 0.25)
+#: A comment, a tag (with whole quoted values, else up to the next >), or other markup.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*>|</[^>]*>", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Weights of a path's own ratio and of each neighbour's.
+OWN, NEXT = 0.5, 0.25
+#: Factors of an article or main element, of a name that furniture has, and of link text only.
+ELEMENT, NAMED, LINKED = 4.0, 0.02, 0.1
+#: Shares of the best score that make a path content by itself, and in the element that holds such paths.
+HIGH, LOW = 0.5, 0.05
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LISTS = {"li", "dd", "dt", "td", "pre", "blockquote"}
 #: Text beside the container is content from this share of its mean block length, or as a sentence of so many characters.
 SHARE, SENTENCE = 0.25, 40
 
+Path = tuple[str, ...]
+#: Block, path, text, and whether it is link text.
+Node = tuple[int, Path, str, bool]
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE or tag == "header" and not in_article:
-        return True
-    if attributes and tag not in ("html", "body"):
-        for name, *values in ATTRIBUTE.findall(attributes):
-            value, name = "".join(values).lower(), name.lower()
-            if name == "hidden" or name == "role" and value in FURNITURE_ROLES:
-                return True
-            if name in ("class", "id") and tag not in ("article", "main") and FURNITURE_NAMES.search(value):
-                return True
+
+def attributes(text: str) -> dict[str, str]:
+    """Names and values in a start tag; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), "".join(values).lower())
+    return out
+
+
+def furniture_name(names: str) -> bool:
+    """Whether a class or id is a name of furniture: a whole word, or joined with neutral words only."""
+    for token in names.split():
+        words = [w.rstrip("0123456789") for w in re.split(r"[-_]+", token)]
+        if any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in NEUTRAL_WORDS or not w for w in words):
+            return True
     return False
 
 
-def text_nodes(page: str) -> list[tuple[int, tuple[str, ...], str]]:
-    """(block, path, text) of each text node outside furniture, in page order."""
-    out: list[tuple[int, tuple[str, ...], str]] = []
+def _left_out(tag: str, own: dict[str, str], in_article: bool) -> bool:
+    """Elements that are furniture by what they are, and what isn't shown."""
+    if tag in SKIPPED or tag in FURNITURE or tag == "header" and not in_article:
+        return True
+    return tag not in ("html", "body") and (own.get("hidden") in ("", "hidden") or own.get("role") in FURNITURE_ROLES)
+
+
+def text_nodes(page: str) -> list[Node]:
+    """The text nodes outside furniture elements, in page order. A step named like furniture ends in "!"."""
+    out: list[Node] = []
     stack: list[tuple[str, bool, str]] = []  # tag, whether it or what it is in is left out, path step
     block, at, n = 0, 0, len(page)
-    dead, path = False, ()
+    dead, path, linked = False, (), False
 
     def settle() -> None:
-        nonlocal dead, path
+        nonlocal dead, path, linked
         dead = stack[-1][1] if stack else False
         path = tuple(s[2] for s in stack if s[2])
+        linked = any(s[0] == "a" for s in stack)
 
     while at < n:
         found = TOKEN.search(page, at)
         stop = found.start() if found else n
         if stop > at and not dead:
-            out.append((block, path, page[at:stop]))
+            out.append((block, path, page[at:stop], linked))
         if not found:
             break
         at = found.end()
@@ -83,7 +107,7 @@ def text_nodes(page: str) -> list[tuple[int, tuple[str, ...], str]]:
         tag = tag.lower()
         if tag == "br":
             if not dead:
-                out.append((block, path, " "))
+                out.append((block, path, " ", linked))
             continue
         if found[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -107,99 +131,126 @@ def text_nodes(page: str) -> list[tuple[int, tuple[str, ...], str]]:
         if tag in VOID or found[3].endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            end = RAW_END[tag].search(page, at)
             at = end.end() if end else n
             continue
-        out_now = dead or tag in SKIPPED or _furniture(tag, found[3], any(s[0] in ("article", "main") for s in stack))
+        own = attributes(found[3]) if found[3] else {}
+        out_now = dead or _left_out(tag, own, any(s[0] in ("article", "main") for s in stack))
+        named = bool(own) and tag not in ("html", "body", "article", "main") and furniture_name(f"{own.get('class', '')} {own.get('id', '')}")
         step = ""
-        if tag in BLOCKS or tag == "a":
-            names = " ".join(sorted("".join(v).lower() for a, *v in ATTRIBUTE.findall(found[3]) if a.lower() == "class")) if found[3] else ""
-            step = f"{tag}.{names}" if names else tag
+        if tag in BLOCKS or named:
+            names = " ".join(sorted(own.get("class", "").split()))
+            step = (f"{tag}.{names}" if names else tag) + "!" * named
         stack.append((tag, out_now, step))
         settle()
     return out
 
 
-def content_paths(nodes: list[tuple[int, tuple[str, ...], str]]) -> set[tuple[str, ...]]:
-    """The paths whose fused ratio passes the threshold."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for _, path, text in nodes:
+def _tag(step: str) -> str:
+    return step.rstrip("!").split(".")[0]
+
+
+def _shared(a: Path, b: Path) -> int:
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+def path_scores(nodes: list[Node]) -> dict[Path, float]:
+    """The fused score of each path that has text."""
+    sums: dict[Path, list[int]] = {}  # characters, punctuation, link characters, blocks
+    order: list[Path] = []
+    last = None
+    for block, path, text, linked in nodes:
         body = text.strip()
-        if body:
-            s = sums.setdefault(path, [0, 0, 0])
-            s[0] += len(body)
-            s[1] += len(PUNCTUATION.findall(body))
-            s[2] += 1
-    if not sums:
-        return set()
-    paths = list(sums)
-    lengths, marks = [sums[p][0] / sums[p][2] for p in paths], [sums[p][1] / sums[p][2] for p in paths]
-
-    def smoothed(x: list[float]) -> list[float]:
-        wide = [x[0], *x, x[-1]]
-        return [sum(w * wide[i + k] for k, w in enumerate(SMOOTH)) for i in range(len(x))]
-
-    total = sum(s[0] for s in sums.values())
-    fused = []
-    for path, length, mark, a, b in zip(paths, smoothed(lengths), smoothed(marks), lengths, marks):
-        share = sums[path][0] / total
-        own = sqrt(0.5 * (length + a) * (1 + 0.5 * (mark + b))) * (0.2 + share)
-        inside = any(step.split(".")[0] in ("article", "main") for step in path)
-        linked = any(step.split(".")[0] == "a" for step in path)
-        fused.append(own * (4 if inside else 1) * (0.1 if linked else 1))
-    mean = sum(fused) / len(fused)
-    spread = sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    bound = min(max(fused), mean + 0.5 * spread)
-    return {p for p, f in zip(paths, fused) if f >= bound}
-
-
-def container(paths: set[tuple[str, ...]]) -> tuple[str, ...]:
-    """The deepest path step that holds all of them; their parents' where they are one path."""
-    parents = [next((p[: k + 1] for k in range(len(p) - 1, -1, -1) if p[k].split(".")[0] in ("article", "main")), p[:-1]) for p in paths]
+        if not body:
+            continue
+        own = sums.setdefault(path, [0, 0, 0, 0])
+        own[0] += len(body)
+        own[1] += len(PUNCTUATION.findall(body))
+        own[2] += len(body) * linked
+        if (block, path) != last:
+            own[3] += 1
+            order.append(path)
+            last = (block, path)
+    ratio = {p: (s[0] / s[3], s[1] / s[3]) for p, s in sums.items()}
+    # neighbours in page order: pairs of paths and how often they meet
+    meet: dict[tuple[Path, Path], int] = {}
+    for p, q in zip(order, order[1:]):
+        meet[p, q] = meet.get((p, q), 0) + 1
+    near = {p: [0.0, 0.0] for p in sums}
+    for (p, q), n in meet.items():
+        like = _shared(p, q) / max(len(p), len(q), 1)
+        for x, y in ((p, q), (q, p)):
+            for i in (0, 1):
+                near[x][i] += n * like * ratio[y][i]
+    out = {}
+    for p, (chars, _, links, blocks) in sums.items():
+        length, marks = (OWN * ratio[p][i] + NEXT * near[p][i] / blocks for i in (0, 1))
+        score = sqrt(length * (1 + marks)) * (1 - (1 - LINKED) * links / chars)
+        if any(_tag(step) in ("article", "main") for step in p):
+            score *= ELEMENT
+        if any(step.endswith("!") for step in p):
+            score *= NAMED
+        out[p] = score
+    return out
+
+
+def container(paths: set[Path]) -> Path:
+    """The path of the deepest element that holds the parents of all of them."""
+    parents = [next((p[: k + 1] for k in range(len(p) - 1, -1, -1) if _tag(p[k]) in ("article", "main")), p[:-1]) for p in sorted(paths)]
     first = parents[0]
     for other in parents[1:]:
-        k = 0
-        while k < min(len(first), len(other)) and first[k] == other[k]:
-            k += 1
-        first = first[:k]
+        first = first[: _shared(first, other)]
     return first
 
 
-def beside(nodes: list[tuple[int, tuple[str, ...], str]], root: tuple[str, ...]) -> set[tuple[str, ...]]:
-    """The paths in the container and in the branches of its ancestors that hold content too.
+def content_paths(nodes: list[Node]) -> set[Path]:
+    """The paths whose nodes are content."""
+    scores = path_scores(nodes)
+    if not scores:
+        return set()
+    best = max(scores.values())
+    seeds = {p for p, x in scores.items() if x >= HIGH * best}
+    root = container(seeds)
+    inside = {p for p, x in scores.items() if p[: len(root)] == root and x >= LOW * best}
+    named = {p for p, x in scores.items() if x < LOW * best}
+    return seeds | inside | beside([n for n in nodes if n[1] not in named], root)
+
+
+def beside(nodes: list[Node], root: Path) -> set[Path]:
+    """The paths in the branches of the container's ancestors that hold content too.
 
     Where the container is in an article or main element, only branches inside that are looked at.
     """
     k = len(root)
-    outer = next((i for i, step in enumerate(root) if step.split(".")[0] in ("article", "main")), -1)
-    held: set[tuple[str, ...]] = set()
-    branches: dict[tuple[str, ...], dict[tuple[str, ...], list]] = {}
+    outer = next((i for i, step in enumerate(root) if _tag(step) in ("article", "main")), -1)
+    held: set[Path] = set()
+    branches: dict[Path, dict[Path, list]] = {}
     length, blocks = 0, set()
-    for block, path, text in nodes:
+    for block, path, text, linked in nodes:
         size = len(text.strip())
+        if not size:
+            continue
         if path[:k] == root:
-            held.add(path)
             length += size
-            if size:
-                blocks.add(block)
-        elif size:
-            j = 0
-            while j < min(k, len(path)) and path[j] == root[j]:
-                j += 1
+            blocks.add(block)
+        else:
+            j = _shared(path, root)
             if j > outer:
-                sums = branches.setdefault(path[: j + 1], {}).setdefault(path, [0, 0, set()])
+                sums = branches.setdefault(path[: j + 1], {}).setdefault(path, [0, 0, set(), 0])
                 sums[0] += size
                 sums[1] += len(PUNCTUATION.findall(text))
                 sums[2].add(block)
+                sums[3] += size * linked
     mean = length / max(len(blocks), 1)
     for paths in branches.values():
-        total = sum(s[0] for s in paths.values())
-        tags = {path: {step.split(".")[0] for step in path} for path in paths}
-        if 2 * sum(s[0] for path, s in paths.items() if "a" in tags[path]) > total:
+        if 2 * sum(s[3] for s in paths.values()) > sum(s[0] for s in paths.values()):
             continue
-        for path, (size, marks, own) in paths.items():
-            each = size / len(own)
-            if "a" not in tags[path] and (tags[path] & (HEADINGS | LISTS) or each >= SHARE * mean or each >= SENTENCE and marks >= len(own)):
+        for path, (size, marks, own, links) in paths.items():
+            each, tags = size / len(own), {_tag(step) for step in path}
+            if 2 * links <= size and (tags & (HEADINGS | LISTS) or each >= SHARE * mean or each >= SENTENCE and marks >= len(own)):
                 held.update(paths)
                 break
     return held
@@ -210,11 +261,8 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     nodes = text_nodes(page.replace("\0", " "))
-    chosen = content_paths(nodes)
-    if not chosen:
-        return ""
-    held = beside(nodes, container(chosen))
-    kept: list[tuple[int, str]] = [(block, text) for block, path, text in nodes if path in held]
+    held = content_paths(nodes)
+    kept: list[tuple[int, str]] = [(block, text) for block, path, text, _ in nodes if path in held]
     out: list[str] = []
     last, parts = None, []
     for block, text in [*kept, (None, "")]:
