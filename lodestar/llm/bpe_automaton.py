@@ -8,14 +8,16 @@ removals (merge, label), and the arcs that a removal takes away (the label and t
 left later) are one interval of a post-order of the left-component forest. A transition is thus
 a lookup in a state's interval table.
 
-Every prefix of a word has one tokenization, so each position of a word is reached by one arc
-at most. Encoding is one forward pass over the arcs, and decoding emits the arcs' labels.
+Every prefix of a word has one tokenization, so each position of a word is reached by one arc.
+Encoding is one forward pass: a suffix automaton over the labels names the arcs that can end at
+a byte, longest first, and the first that its state allows is taken. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -32,6 +34,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 WORD_CACHE = 400_000
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def byte_letters() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,7 +57,7 @@ class Automaton:
         for t, i in self.special.items():
             self.labels[i] = t.encode()
         self.arc = {b: vocab[t] for t, b in label.items()}
-        self.longest = max(map(len, self.arc), default=0)
+        self._suffixes()
         pairs = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
         self.born = {w: m for m, (_, _, w) in enumerate(pairs)}
         self.built: dict[int, list[int]] = {}  # on its left, in order of birth
@@ -69,6 +76,38 @@ class Automaton:
             target[u] = len(self.states) - 1
         self.target, self.tables, self.steps, self.live = target, {}, {}, {}
 
+    def _suffixes(self) -> None:
+        """go, fail: an Aho-Corasick automaton over the labels. out: by node, the longest arc that ends there; shorter: by arc, the next one."""
+        self.size = list(map(len, self.labels))
+        go, fail, out, depth = {}, [0], [-1], [[]]
+        for label, t in self.arc.items():
+            node = 0
+            for k, b in enumerate(label):
+                key = node << 8 | b
+                node = go.get(key, 0)
+                if not node:
+                    node = go[key] = len(out)
+                    out.append(-1)
+                    fail.append(0)
+                    while len(depth) <= k + 1:
+                        depth.append([])
+                    depth[k + 1].append((node, key >> 8, b))
+            out[node] = t
+        self.shorter = [-1] * len(self.size)
+        for level in depth[1:]:
+            for node, parent, b in level:
+                at = fail[parent]
+                found = go.get(at << 8 | b, 0) if parent else 0
+                while not found and at:
+                    at = fail[at]
+                    found = go.get(at << 8 | b, 0)
+                fail[node] = found
+                if out[node] < 0:
+                    out[node] = out[found]
+                else:
+                    self.shorter[out[node]] = out[found]
+        self.go, self.fail, self.out = go, fail, out
+
     def _number(self, merged: set[int]) -> None:
         """Post-order of the forest in which w = u + v is a child of u; low: least number below."""
         self.post, self.low, at = {}, {}, 0
@@ -87,23 +126,25 @@ class Automaton:
                     at += 1
 
     def _table(self, state: int) -> tuple[array, array]:
-        """The removed intervals of a state, joined and in order."""
+        """The removed intervals of a state, joined and in order; its nearest known ancestor's and the removals since."""
         if state not in self.tables:
             found, s = [], state
-            while s > 0:
+            while s > 0 and s not in self.tables:
                 parent, m, x = self.states[s]
                 kids = self.built.get(x, ())
                 k = bisect_right([self.born[y] for y in kids], m - 1) if kids else 0
                 found.append((self.low[kids[k]] if k < len(kids) else self.post[x], self.post[x]))
                 s = parent
-            starts, ends = [], []
+            if s > 0:
+                found += zip(*self.tables[s])
+            starts, ends = array("i"), array("i")
             for a, b in sorted(found):
                 if ends and a <= ends[-1] + 1:
                     ends[-1] = max(ends[-1], b)
                 else:
                     starts.append(a)
                     ends.append(b)
-            self.tables[state] = array("i", starts), array("i", ends)
+            self.tables[state] = starts, ends
         return self.tables[state]
 
     def _has(self, state: int, t: int) -> bool:
@@ -130,25 +171,30 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-split word."""
-        n, arc, step, longest = len(word), self.arc.get, self.step, self.longest
-        whole = arc(word)
+        whole = self.arc.get(word)
         if whole is not None and self.alive(whole):
             return [whole]
-        back: list[int] = [-1] * (n + 1)
-        by: list[int] = [-1] * (n + 1)
-        for i in range(n):
-            last = by[i]
-            if i and last < 0:
-                continue
-            for j in range(i + 1, min(n, i + longest) + 1):
-                t = arc(word[i:j])
-                if t is not None and step(last, t):
-                    back[j], by[j] = i, t
-        out, j = [], n
-        while j > 0:
-            out.append(by[j])
-            j = back[j]
-        return out[::-1]
+        go, fail, out, shorter, size, steps, step = self.go.get, self.fail, self.out, self.shorter, self.size, self.steps.get, self.step
+        by, node, end = [-1], 0, 0
+        for b in word:
+            found = go(node << 8 | b, 0)
+            while not found and node:
+                node = fail[node]
+                found = go(node << 8 | b, 0)
+            node, end = found, end + 1
+            t = out[node]
+            while t >= 0:
+                last = by[end - size[t]]
+                ok = steps(last << 20 | t) if last >= 0 else None
+                if ok or ok is None and step(last, t):
+                    break
+                t = shorter[t]
+            by.append(t)
+        ids = []
+        while end > 0:
+            ids.append(by[end])
+            end -= size[by[end]]
+        return ids[::-1]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -174,7 +220,7 @@ class AutomatonEncoder:
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            got = np.array(self.automaton.encode_word(word.encode()), "<u4").tobytes()
+            got = pack(self.automaton.encode_word(word.encode()))
             if len(self.words) < WORD_CACHE:
                 self.words[word] = got
         return got
