@@ -211,3 +211,137 @@ def test_ivfpq_recall(spark):
     assert search(spark.createDataFrame([], schema), F.col("vec_id") % 100 == 0).count() == 0
     few = search(spark.createDataFrame(rows[:4], schema), F.col("vec_id") == 0).collect()
     assert [r["rank"] for r in few] == [1, 2, 3]
+
+
+def test_suffix_dedup_long_texts_ids_and_columns(spark, monkeypatch):
+    """Texts beyond a piece, rows that repeat an id, clashing columns, and more ranges than splitters."""
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abcdefgh ", k=900))
+    texts = ["".join(rng.choices("xyz", k=5000)) + passage + "".join(rng.choices("uvw", k=7000)), passage, "".join(rng.choices("ijk", k=3000)) + passage[100:700], "q" * 250, "q" * 250]
+    for name, value in (("PIECE", 2048), ("SLICE_BYTES", 1024), ("RUN_BYTES", 2_000), ("RANGE_BYTES", 2_000), ("SPLITTERS", 2)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = [(i // 2, t, 1, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_removed int, spans string").repartition(3)
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs, 60).collect())
+    assert got == sorted(brute_repeats(texts, 60))
+
+
+def test_minhash_templates(spark):
+    """Many documents of one template: only pairs that share their own words, too, are linked."""
+    for seed, n in ((1, 80), (2, 80), (3, 300)):
+        rng = random.Random(seed)
+        fresh = (f"w{i}" for i in range(1_000_000))
+        template = [next(fresh) for _ in range(400)]
+        texts = []
+        for _ in range(n):
+            own = [next(fresh) for _ in range(100)]
+            texts += [" ".join(template + own), " ".join(template + own[:48] + [next(fresh) for _ in range(52)])]
+        order = list(range(len(texts)))
+        rng.shuffle(order)
+        want = brute_components(len(texts), [(order.index(2 * i), order.index(2 * i + 1)) for i in range(n)])
+        docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id bigint, text string").repartition(3)
+        got = minhash.near_duplicates(docs).orderBy("doc_id").collect()
+        assert [r["component_id"] for r in got] == want
+    sets = [shingles(texts[order[i]]) for i in range(40)]
+    linked = {(a, b) for a in range(40) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked == {(a, b) for a in range(40) for b in range(a) if order[a] // 2 == order[b] // 2}
+
+
+def test_minhash_repeated_ids(spark):
+    a, x = ("a b c d e f g h", "s t u v w x y z")
+    docs = spark.createDataFrame([(1, a, 0), (1, x, 0), (2, x, 0), (3, a, 0), (3, a, 0), (None, a, 0)], "doc_id bigint, text string, component int")
+    got = sorted(((r["doc_id"] or 0), r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False)]
+
+
+def test_rabitq_odd_rows(spark):
+    """Repeated ids, two lengths, doubles that floats can't tell apart, and clashing columns."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 24))
+    rows = [(i, (base[i % 6] + 0.05 * rng.standard_normal(24)).tolist(), "a", 1) for i in range(60)]
+    rows += [(i, (base[i % 6][:10] + 0.05 * rng.standard_normal(10)).tolist(), "a", 1) for i in range(60, 90)]
+    rows += [(7, rows[8][1], "a", 1), (7, rows[7][1], "a", 1), (7, None, "a", 1), (None, rows[7][1], "a", 1), (95, rows[0][1], None, 1)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string, size int").repartition(3)
+    got = rabitq.near_duplicates(table).collect()
+    assert len(got) == len(rows)
+    live = [i for i, r in enumerate(rows) if r[0] is not None and r[1] is not None and r[2] is not None]
+    unit = {i: np.array(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in live}
+    linked = [(a, b) for a in live for b in live if b < a and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
+    count, root = [0] * len(rows), brute_components(len(rows), linked)
+    for a, b in linked:
+        count[a] += 1
+        count[b] += 1
+    least: dict = {}
+    for i in live:
+        least[root[i]] = min(rows[i][0], least.get(root[i], 1 << 60))
+    want = [(r[0] or -1, count[i], least.get(root[i], r[0]) if i in unit else r[0]) for i, r in enumerate(rows)]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, ((r["vec_id"], r["n_links"], r["component_id"]) for r in got))) == sorted(map(key, want))
+    t = 0.93
+    close = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [t + 1e-12, (1 - (t + 1e-12) ** 2) ** 0.5], 1), (3, [t - 1e-9, -((1 - (t - 1e-9) ** 2) ** 0.5)], 1)], "vec_id bigint, embedding array<double>, label int")
+    assert [r["n_links"] for r in rabitq.near_duplicates(close).orderBy("vec_id").collect()] == [1, 1, 0]
+
+
+def test_rabitq_codes_settle_most_pairs():
+    """The estimate is unbiased, its bound never loses a link, and few other pairs are left open."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((300, 64))
+    x = rabitq.unit(np.concatenate([base, base + 0.25 * rng.standard_normal(base.shape)]))
+    codes = rabitq.Codes(64, 7, 18)
+    rows, keys = codes.encode(x)
+    a, b = (k.ravel() for k in np.meshgrid(np.arange(600), np.arange(600), indexing="ij"))
+    a, b = a[a < b], b[a < b]
+    cosine = np.einsum("ij,ij->i", x[a], x[b])
+    left = codes.open_pairs(rows, a, b, 0.93)
+    assert left[cosine >= 0.93].all() and left[cosine < 0.93].mean() < 0.02
+    t = 5
+    shared = (keys[a, :t] == keys[b, :t]).any(1)
+    assert (codes.first_table(rows, a, b, t) == ~shared).all()
+
+
+def brute_nearest(vectors, ids, query, k=10):
+    own = min((v for v, i in zip(vectors, ids) if i == query), key=tuple)
+    found = sorted((float(np.sqrt(((np.array(v) - np.array(own)) ** 2).sum())), i) for v, i in zip(vectors, ids) if i != query and len(v) == len(own))
+    return found[:k]
+
+
+def test_ivfpq_skips_lists_and_finds_the_nearest(spark):
+    import pyspark.sql.functions as F
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 24))
+    x[::3] = x[0]  # a third are copies
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got: dict = {}
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    for r in search(table, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hit = 0
+    for q in range(0, 20_000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(d)), d))[:10]
+        hit += len(set(best.tolist()) & {v for _, v in got[q]})
+    assert hit >= 0.9 * 2000
+    few = search(table, F.col("vec_id") % 100 == 0, probes=3)
+    assert few.count() > 0
+
+
+def test_ivfpq_odd_rows(spark):
+    """Repeated ids, ties, doubles, two lengths and clashing columns, against all distances."""
+    import pyspark.sql.functions as F
+
+    rng = np.random.default_rng(4)
+    vectors = [*rng.standard_normal((80, 6)).tolist(), *rng.standard_normal((30, 3)).tolist()]
+    ids = list(range(110))
+    vectors += [vectors[0], vectors[0], [x + 5.0 for x in vectors[0]], vectors[3], vectors[81]]
+    ids += [0, 200, 0, 201, 202]
+    rows = [*zip(ids, vectors, range(len(ids))), (None, vectors[0], 0), (300, None, 0), (400, [0.0] * 6, 0)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank int").repartition(3)
+    got: dict = {}
+    for r in search(table, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    assert set(got) == {0, 100, 200}
+    for q in (0, 100, 200):
+        want = brute_nearest(vectors, ids, q)
+        assert [(s, v) for _, s, v in sorted(got[q])] == [(s, v) for s, v in want] and [r for r, *_ in sorted(got[q])] == list(range(1, 11))

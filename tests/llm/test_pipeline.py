@@ -1,5 +1,4 @@
 import corpus_pipeline
-from lodestar.llm import langid, minhash, suffix_dedup
 from pyspark.sql import functions as F
 
 
@@ -29,3 +28,12 @@ def test_stages_keep_clean_documents_and_drop_copies(spark, odd_docs, tmp_path):
 def test_stages_on_no_documents(spark, no_docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, "unused").count() == 0, name
+
+
+def test_near_dedup_keeps_every_text_once(spark):
+    """Rows that repeat an id with another text are documents of their own."""
+    a, x = "a b c d e f g h", "s t u v w x y z"
+    rows = [(1, a, "en", "s", 0), (1, x, "en", "s", 0), (2, x, "en", "s", 0), (3, a, "en", "s", 0), (4, None, "en", "s", 0), (4, None, "en", "s", 0), (5, "", None, None, None), (None, a, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in corpus_pipeline.near_dedup(spark, docs, "unused").collect())
+    assert got == [(0, a), (1, a), (1, x), (4, ""), (5, "")]

@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.llm import html_text, langid
@@ -93,3 +95,134 @@ def test_language_id_of_character_references(spark, tmp_path):
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["text_lang"] for r in queries.op1_language_id(spark, str(tmp_path)).collect()}
     assert got == {i: lang for i, _, lang in docs[:9]}
+
+
+def test_language_id_fusion_against_plain_loops(spark):
+    """Every posterior, recomputed row by row from the text scores."""
+    from math import exp, log
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        lang = rng.choice("xyz")
+        host = rng.choice([f"a.{lang}s.com", f"b.{lang}s.com", "shared.org", "", None, "localhost"])
+        rows.append((i, made_up(rng, lang, rng.randint(0, 4)), rng.choice([lang * 2, "xx", "zz-Z", None, ""]), host))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, declared string, host string").repartition(3)
+    train = spark.createDataFrame([(made_up(rng, lang, 30), lang) for lang in "xyz" * 30], "text string, lang string")
+    model = langid.fit(train)
+    suffix = F.regexp_extract("host", r"\.(\w+)$", 1)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model, ["doc_id"], F.col("text"), F.col("declared"), F.col("host"), suffix).collect()}
+
+    score, n = model.score([t for _, t, _, _ in rows])
+    mean = score.max(1) / np.maximum(n, 1)
+    odd = (n == 0) | (n >= langid.LEAST_TRIGRAMS) & (mean < model.usual + langid.WAY * (langid.RANDOM - model.usual))
+    ll = score * langid.TEMPER
+
+    def share(v):
+        e = [exp(a - max(v)) for a in v]
+        return [a / sum(e) for a in e]
+
+    own = [share(v) if not o else [0.0] * 3 for v, o in zip(ll, odd)]
+
+    def evidence(declared, host):
+        host = (host or "").lower()
+        domain = ".".join(host.split(".")[-2:]) if "." in host else host
+        code = (declared or "").lower().split("-")[0]
+        return {"declared": code, "suffix": host.rpartition(".")[2] if "." in host else "", "domain": domain, "host": host}
+
+    keys = [evidence(d, h) for _, _, d, h in rows]
+    counts: dict = {}
+    for key, p in zip(keys, own):
+        for level, value in key.items():
+            if value:
+                held = counts.setdefault((level, value), [0.0] * 3)
+                for j in range(3):
+                    held[j] += p[j]
+    total = [sum(p[j] for p in own) for j in range(3)]
+
+    def toward(a, q):
+        return [(x + langid.PRIOR_ROWS * y) / (sum(a) + langid.PRIOR_ROWS) for x, y in zip(a, q)]
+
+    for (i, _, _, _), key, p, v in zip(rows, keys, own, ll):
+        prior = toward(total, [1 / 3] * 3)
+        for level in ("suffix", "domain", "host"):
+            if key[level]:
+                prior = toward([max(a - b, 0.0) for a, b in zip(counts[level, key[level]], p)], prior)
+        fused = [a + log(max(q, 1e-6)) for a, q in zip(v, prior)]
+        if key["declared"]:
+            told = [max(a - b, 0.0) for a, b in zip(counts["declared", key["declared"]], p)]
+            fused = [f + log((a + langid.UNSEEN) / (b + langid.UNSEEN * 10)) for f, a, b in zip(fused, told, total)]
+        posterior = share(fused)
+        assert abs(got[i]["posterior"] - max(posterior)) < 1e-6, i
+        if got[i]["accepted"]:
+            assert got[i]["lang"] == "xyz"[posterior.index(max(posterior))]
+    assert {r["lang"] for r in got.values()} >= {"x", "y", "z"}
+
+
+def test_language_id_very_long_text(spark):
+    rng = random.Random(5)
+    rows = [(i, made_up(rng, lang, 30), lang) for i, lang in enumerate("xyz" * 20)] + [(100, made_up(rng, "y", 300_000), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.identify(docs, langid.fit(docs), ["doc_id"], F.col("text")).where("doc_id = 100").first()
+    assert got["lang"] == "y" and got["n_trigrams"] > langid.SLICE_CHARS
+
+
+PROSE = "A sentence of the text, with words that go on; and then some more of them follow. "
+
+
+def test_attributes_are_read_by_name():
+    long = PROSE * 3
+    assert html_text.attributes('style="overflow:hidden" title=\'a id="x"\' DATA-ID=ad hidden class=b') == {"style": "overflow:hidden", "title": 'a id="x"', "data-id": "ad", "hidden": "", "class": "b"}
+    for page in (
+        f'<article style="overflow:hidden"><p>{long}</p></article>', f'<div style="overflow:hidden"><article><p>{long}</p></article></div>',
+        f'<article><p aria-hidden="false">{long}</p></article>', f'<article><p title="a hidden gem">{long}</p></article>', f'<article><p data-id="ad">{long}</p></article>',
+        f'<article><section class="related-work"><p>{long}</p></section></article>',
+    ):
+        assert html_text.extract(page) == long.strip(), page
+    for out in ("<div hidden>", '<div hidden="">', '<div role="navigation">', '<div class="x ad-box">', '<div id="cookie-notice-2">', '<ul class="comments-list">'):
+        page = f"<article><p>{long}</p>{out}<p>{PROSE}</p></div></ul></article>"
+        assert html_text.extract(page) == long.strip(), out
+    assert html_text.furniture_name("sidebar") and html_text.furniture_name("site-footer") and not html_text.furniture_name("download address related-work")
+
+
+def test_ratios_choose_among_paths_without_names():
+    """No article, no telling names: only the ratios tell text from links and labels."""
+    links = "".join(f"<li><a href=x>Link number {i}</a></li>" for i in range(30))
+    labels = "".join(f"<span>tag{i}</span> " for i in range(5))
+    text = "".join(f"<p>{PROSE * (1 + i % 3)}</p>" for i in range(6))
+    page = f"<body><div class=k1><ul>{links}</ul></div><div class=k2><div class=k3><h2>Title line</h2>{text}</div></div><div class=k4>{labels}</div><div class=k5><a>About</a> <a>Terms</a></div></body>"
+    got = html_text.extract(page).split("\n")
+    assert got == ["Title line"] + [(PROSE * (1 + i % 3)).strip() for i in range(6)]
+    # the same scores by plain loops
+    nodes = html_text.text_nodes(page)
+    blocks: list = []
+    for block, path, body, linked in nodes:
+        if body.strip():
+            if not blocks or blocks[-1][0] != (block, path):
+                blocks.append(((block, path), 0, 0, 0))
+            key, chars, marks, link = blocks[-1]
+            body = body.strip()
+            blocks[-1] = (key, chars + len(body), marks + sum(c in ".,;:!?" for c in body), link + len(body) * linked)
+    paths = {key[1] for key, *_ in blocks}
+    mean = {p: [sum(b[i] for b in blocks if b[0][1] == p) / sum(b[0][1] == p for b in blocks) for i in (1, 2)] for p in paths}
+    for p, score in html_text.path_scores(nodes).items():
+        own = [b for b in blocks if b[0][1] == p]
+        smooth = []
+        for i in (0, 1):
+            near = 0.0
+            for k, b in enumerate(blocks):
+                for other in (k - 1, k + 1):
+                    if b[0][1] == p and 0 <= other < len(blocks):
+                        q = blocks[other][0][1]
+                        like = next((j for j, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q))) / max(len(p), len(q), 1)
+                        near += like * mean[q][i]
+            smooth.append(html_text.OWN * mean[p][i] + html_text.NEXT * near / len(own))
+        links_share = sum(b[3] for b in own) / sum(b[1] for b in own)
+        assert abs(score - (smooth[0] * (1 + smooth[1])) ** 0.5 * (1 - (1 - html_text.LINKED) * links_share)) < 1e-9
+
+
+def test_a_very_long_page_with_an_odd_quote():
+    page = "<div><p title=\"open>First words, then more of them.</p>" + f"<p>{PROSE}</p>" * 20_000 + "</div>"
+    began = time.process_time()
+    assert html_text.extract(page).count("\n") >= 19_998
+    assert time.process_time() - began < 20

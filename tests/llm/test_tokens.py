@@ -134,3 +134,31 @@ def test_plan_places_everything_once():
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
         least = max(sum(s * n for s, n in histogram.items()) / 2048, sum(n for s, n in histogram.items() if s > 1024))
         assert spans[-1][1] <= 1.08 * least + 2
+
+
+def test_shards_follow_the_bytes(spark, tok, monkeypatch):
+    from lodestar.llm import token_files
+
+    least = -(1 << 63)
+    rows = [(i, "some words here " * (i % 40)) for i in range(200)] + [(None, "null"), (None, "id"), (least, "least"), (7, "again"), (300, "long " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    plan = write_token_files(docs, tokenizer_path())
+    monkeypatch.setattr(token_files, "READ_BYTES", 1_000)
+    for manifest in (plan, write_token_files(docs.withColumn("start", docs["doc_id"]), tokenizer_path())):
+        got = sorted((tuple(r) for r in read_token_files(manifest).collect()), key=lambda r: r[1])
+        want = [(i, [*ids_of(tok, t), 0]) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1]) if r[0] is not None else (False, 0, r[1]))]
+        assert [(r[0], r[2], r[3]) for r in got] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want]
+        assert [r[1] for r in got] == np.concatenate([[0], np.cumsum([len(x) for _, x in want])[:-1]]).tolist()
+    first = ShardReader(plan.orderBy("shard").first()["path"])
+    assert [x.tolist() for x in first.document(least)] == [[*ids_of(tok, "least"), 0]]
+
+
+def test_a_writer_rolls_over(tmp_path):
+    from lodestar.llm.token_files import ShardWriter
+
+    writer = ShardWriter(str(tmp_path / "a.zst"), 0)
+    writer.add(None, b"\0\0\0\0")
+    writer.add(5, b"\1\0\0\0" * 3)
+    writer.close()
+    reader = ShardReader(str(tmp_path / "a.zst"))
+    assert reader.null.tolist() == [True, False] and reader.n_tokens.tolist() == [1, 3] and list(reader.frames(1, 2)) == [b"\1\0\0\0" * 3]
