@@ -274,7 +274,7 @@ def test_rabitq_odd_rows(spark):
     least: dict = {}
     for i in live:
         least[root[i]] = min(rows[i][0], least.get(root[i], 1 << 60))
-    want = [(r[0] or -1, count[i], least.get(root[i], r[0]) if i in unit else r[0]) for i, r in enumerate(rows)]
+    want = [(r[0], count[i], least.get(root[i], r[0]) if i in unit else r[0]) for i, r in enumerate(rows)]
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(map(key, ((r["vec_id"], r["n_links"], r["component_id"]) for r in got))) == sorted(map(key, want))
     t = 0.93
