@@ -59,8 +59,19 @@ class Snapshot:
         return json.dumps(json.loads(self.row().toJSON(use_unicode=True).first()), indent=2, ensure_ascii=False)
 
     def write(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(self.to_json())
+        """To a local path, or to a URI by Spark's file systems."""
+        text = self.to_json()
+        if "://" not in path:
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text)
+            return
+        spark = self.functions.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Snapshot:

@@ -295,6 +295,12 @@ def test_uris_are_read_by_spark(spark, tmp_path):
     assert values(newest.functions_df, "fq_name") == [("k::f3",)]
 
 
+def test_snapshot_at_a_uri(spark, tmp_path):
+    k = corpus(spark, "pub fn a() {} pub use b::c;")
+    k.snapshot().write((tmp_path / "s.json").as_uri())
+    assert k.diff_snapshot(Snapshot.read(spark, str(tmp_path / "s.json"))).count() == 0
+
+
 def test_stream_goes_on_after_bad_bytes(spark, tmp_path):
     from lodestar.streaming.landing import on_each_batch, read_landing
 
