@@ -34,42 +34,52 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; null text is empty."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept", "kept_text")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
 def op4_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found to every vector whose id is divisible by 100: query_id, rank, vec_id, score."""
     return ivfpq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, n_shingles, component_id, kept."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0))
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector: vec_id, n_links, component_id, kept."""
     return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, n_lines, n_removed."""
     return line_spread.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed")
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: page_id, url, text, n_chars."""
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe_automaton.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what the pipeline's stages leave of documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -162,3 +162,22 @@ def test_a_writer_rolls_over(tmp_path):
     writer.close()
     reader = ShardReader(str(tmp_path / "a.zst"))
     assert reader.null.tolist() == [True, False] and reader.n_tokens.tolist() == [1, 3] and list(reader.frames(1, 2)) == [b"\1\0\0\0" * 3]
+
+
+def test_long_texts_in_slices(tok, monkeypatch):
+    import pyarrow as pa
+
+    from lodestar.llm import minhash, units
+
+    texts = random_texts(200, 13) + ["word " * 5000, None, "", "tail"]
+    whole_sets = [s.tolist() for s in minhash.shingle_sets(texts)]
+    monkeypatch.setattr(units, "SLICE_BYTES", 100)
+    monkeypatch.setattr(minhash, "SLICE_BYTES", 100)
+    assert [s.tolist() for s in minhash.shingle_sets(texts)] == whole_sets
+    column, got = pa.array(texts), []
+    encode = library_encoder(tokenizer_path())
+    for at, part in units.slices(column):
+        assert at == len(got)
+        ids, ends = encode(part)
+        got += [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    assert got == [ids_of(tok, t) for t in texts]
