@@ -112,4 +112,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = last = now
     out = STAGES[-1][1](spark, docs, sf_dir)
     discard(last)
+    _earlier.kept.clear()  # the result reads these, and may be evaluated after another run's stages
     return out
