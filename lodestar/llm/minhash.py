@@ -177,23 +177,18 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the nodes of wanted (node, id, th)."""
-    keys = wanted.select("node", F.col("id").alias("_id"), F.col("th").alias("_th"))
-    return docs.join(keys, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text").dropDuplicates(["node"])
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes) of wanted (node, id, th). Both grow with the corpus: neither is broadcast."""
+    keys = wanted.select("node", F.col("id").alias("_id"), F.col("th").alias("_th")).hint("merge")
+    texts = docs.join(keys, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")))
+    return written(_sets(texts.select("node", "text").dropDuplicates(["node"])), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets meet the threshold."""
-    with scope() as held:
-        named = classes.select("node", "rep.id", "rep.th")
-        wanted = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(named, "node"), "wanted")
-        sets = written(_sets(_texts(docs, wanted)), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-        common = F.size(F.array_intersect("ha", "hb"))
-        links = written(both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
-        held.keep(links)
-        return links
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return written(both.where(100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
 
 
 def _size_class(n: str) -> Column:
@@ -201,8 +196,8 @@ def _size_class(n: str) -> Column:
     return F.floor(F.log(F.col(n)) / F.lit(log(100 / PERCENT))).cast("int")
 
 
-def _unsettled(opened: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of opened (node, id, th, n, component) in different components: all that meet the threshold are among them.
+def _unsettled(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of opened (node, n, component) in different components: all that meet the threshold are among them.
 
     A shingle that only one component holds can't be common to a pair: it comes before all others.
     Of a linked pair's sets the smaller one, x, has 2 * PERCENT / (100 + PERCENT) of itself from
@@ -210,8 +205,8 @@ def _unsettled(opened: DataFrame, docs: DataFrame) -> DataFrame:
     as the smaller. Components meet at a shingle before their members do, so a component's own pairs are never made.
     """
     with scope() as held:
-        sets = written(_sets(_texts(docs, opened)).join(opened.select("node", "n", "component"), "node"), "opened-sets")
-        tokens = sets.select("node", "n", "component", F.explode("hashes").alias("t"))
+        own = written(sets.join(opened, "node"), "opened-sets")
+        tokens = own.select("node", "n", "component", F.explode("hashes").alias("t"))
         shared = written(tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t", "df"), "shared")
         ordered = tokens.join(shared, "t").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
         alone = F.col("n") - F.size("s")
@@ -252,7 +247,9 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     members = written(slots.join(centres, "key"), "buckets")
     discard(centres)
     tried = written(members.where((F.col("node") != F.col("c")) & alike("n", "nc")).select(*_pair("node", "c")).distinct(), "tried")
-    links = _confirmed(tried, docs, classes)
+    named = classes.select("node", "rep.id", "rep.th")
+    sets = _full_sets(docs, written(members.select("node").distinct().join(named, "node"), "wanted"))
+    links = _confirmed(tried, sets)
     joined = written(components(links), "joined") if not is_empty(links) else None
     now = members.select("key", "m", "node", "n")
     if joined is not None:
@@ -264,14 +261,13 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     mixed = written(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
     left, right = (now.where(F.col("m") <= SMALL_BUCKET).join(mixed, "key").select("key", F.col("node").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "xy")
     pairs = left.join(right, "key").where((F.col("cx") < F.col("cy")) & alike("nx", "ny")).select(*_pair("x", "y"))
-    opened = now.where(F.col("m") > SMALL_BUCKET).join(mixed, "key").select("node", "n", "component").distinct()
-    opened = written(opened.join(classes.select("node", "rep.id", "rep.th"), "node"), "opened")
+    opened = written(now.where(F.col("m") > SMALL_BUCKET).join(mixed, "key").select("node", "n", "component").distinct(), "opened")
     if not is_empty(opened):
-        pairs = pairs.unionAll(_unsettled(opened, docs))
+        pairs = pairs.unionAll(_unsettled(opened, sets))
     rest = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     discard(now, mixed, opened)
     if not is_empty(rest):
-        more = _confirmed(rest, docs, classes)
+        more = _confirmed(rest, sets)
         if not is_empty(more):
             joined = components(links.unionAll(more))
     return joined
