@@ -4,9 +4,9 @@ Each page is cut into text nodes with their root-to-leaf tag path (block-level t
 classes). For every path the text length, punctuation, link text and number of blocks are summed.
 A path's length and punctuation for each block are its ratios; they are smoothed with those of the paths
 next to it in page order, as far as these share ancestors, and fused with the share of link text
-and what names and elements say. Paths whose score reaches HIGH of the best one are content. So
-are those that reach LOW in the element that holds them all, and whole branches beside it
-that read like it. Nodes are kept by their paths.
+and what names and elements say. Paths whose score reaches HIGH of the best one are content. In
+the element that holds them all, so are those whose weight (what link text and names leave of a
+score) reaches LOW, however short they are, and beside it whole branches that read like it. Nodes are kept by their paths.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 OWN, NEXT = 0.5, 0.25
 #: Factors of an article or main element, of a name that furniture has, and of link text only.
 ELEMENT, NAMED, LINKED = 4.0, 0.02, 0.1
-#: Shares of the best score that make a path content by itself, and in the element that holds such paths.
-HIGH, LOW = 0.5, 0.05
+#: The share of the best score that makes a path content by itself, and the weight that does in the element that holds such paths.
+HIGH, LOW = 0.5, 0.25
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LISTS = {"li", "dd", "dt", "td", "pre", "blockquote"}
 #: Text beside the container is content from this share of its mean block length, or as a sentence of so many characters.
@@ -157,8 +157,8 @@ def _shared(a: Path, b: Path) -> int:
     return k
 
 
-def path_scores(nodes: list[Node]) -> dict[Path, float]:
-    """The fused score of each path that has text."""
+def path_scores(nodes: list[Node]) -> dict[Path, tuple[float, float]]:
+    """The fused score of each path that has text, and its weight. In an article or main element links don't lessen the weight."""
     sums: dict[Path, list[int]] = {}  # characters, punctuation, link characters, blocks
     order: list[Path] = []
     last = None
@@ -188,12 +188,9 @@ def path_scores(nodes: list[Node]) -> dict[Path, float]:
     out = {}
     for p, (chars, _, links, blocks) in sums.items():
         length, marks = (OWN * ratio[p][i] + NEXT * near[p][i] / blocks for i in (0, 1))
-        score = sqrt(length * (1 + marks)) * (1 - (1 - LINKED) * links / chars)
-        if any(_tag(step) in ("article", "main") for step in p):
-            score *= ELEMENT
-        if any(step.endswith("!") for step in p):
-            score *= NAMED
-        out[p] = score
+        linked, named = 1 - (1 - LINKED) * links / chars, NAMED if any(step.endswith("!") for step in p) else 1.0
+        inside = any(_tag(step) in ("article", "main") for step in p)
+        out[p] = sqrt(length * (1 + marks)) * linked * named * (ELEMENT if inside else 1), named * (1 if inside else linked)
     return out
 
 
@@ -211,12 +208,12 @@ def content_paths(nodes: list[Node]) -> set[Path]:
     scores = path_scores(nodes)
     if not scores:
         return set()
-    best = max(scores.values())
-    seeds = {p for p, x in scores.items() if x >= HIGH * best}
+    best = max(score for score, _ in scores.values())
+    seeds = {p for p, (score, _) in scores.items() if score >= HIGH * best}
     root = container(seeds)
-    inside = {p for p, x in scores.items() if p[: len(root)] == root and x >= LOW * best}
-    named = {p for p, x in scores.items() if x < LOW * best}
-    return seeds | inside | beside([n for n in nodes if n[1] not in named], root)
+    light = {p for p, (_, weight) in scores.items() if weight < LOW}
+    inside = {p for p in scores if p[: len(root)] == root and p not in light}
+    return seeds | inside | beside([n for n in nodes if n[1] not in light], root)
 
 
 def beside(nodes: list[Node], root: Path) -> set[Path]:

@@ -205,7 +205,7 @@ def test_ratios_choose_among_paths_without_names():
             blocks[-1] = (key, chars + len(body), marks + sum(c in ".,;:!?" for c in body), link + len(body) * linked)
     paths = {key[1] for key, *_ in blocks}
     mean = {p: [sum(b[i] for b in blocks if b[0][1] == p) / sum(b[0][1] == p for b in blocks) for i in (1, 2)] for p in paths}
-    for p, score in html_text.path_scores(nodes).items():
+    for p, (score, _) in html_text.path_scores(nodes).items():
         own = [b for b in blocks if b[0][1] == p]
         smooth = []
         for i in (0, 1):
@@ -221,6 +221,14 @@ def test_ratios_choose_among_paths_without_names():
         assert abs(score - (smooth[0] * (1 + smooth[1])) ** 0.5 * (1 - (1 - html_text.LINKED) * links_share)) < 1e-9
 
 
+def test_short_blocks_beside_very_long_ones_stay():
+    giant = PROSE * 400
+    body = f"<div>{giant}</div><p>Short one.</p><ul><li>x</li><li>y</li></ul><p>{PROSE}</p>"
+    want = [giant.strip(), "Short one.", "x", "y", PROSE.strip()]
+    assert html_text.extract(f"<body><div class=k><p>{PROSE}</p>{body}</div></body>").split("\n") == [PROSE.strip(), *want]
+    assert html_text.extract(f"<article>{body}<ul><li><a href=r>A source</a></li></ul></article>").split("\n") == [*want, "A source"]
+
+
 def test_a_very_long_page_with_an_odd_quote():
     page = "<div><p title=\"open>First words, then more of them.</p>" + f"<p>{PROSE}</p>" * 20_000 + "</div>"
     began = time.process_time()
