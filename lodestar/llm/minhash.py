@@ -7,7 +7,8 @@ Bands of ROWS bins give buckets. Documents with equal shingle sets are one class
 In each bucket every member is paired with one centre only, so a bucket of n gives n - 1 pairs.
 Pairs are confirmed on the full sets, and bands choose different centres. Buckets whose members
 aren't in one component then are settled exactly: those of up to SMALL_BUCKET members by their
-open pairs, the members of all larger ones by a prefix join. For that a document's shingles
+open pairs, the members of all larger ones by a prefix join, first of some sets of each component,
+then of all that this leaves in different ones. For that a document's shingles
 are put in one order for all, rarest first. Two linked documents' first common shingle is then
 among the first seventh of the smaller set and the first quarter of the larger, and enough
 shingles follow it in both; only pairs that meet there and can still be linked are confirmed.
@@ -30,6 +31,8 @@ BINS, ROWS = 128, 4
 SLICE_BYTES = 1 << 20
 #: A mixed bucket of up to so many members is settled by its open pairs, a constant number for each; a larger one by the prefix join.
 SMALL_BUCKET = 8
+#: Sets of each component, about, that the prefix join tries first. What they don't settle meets all sets in its second pass.
+TRIED_FIRST = 64
 
 _u64 = np.uint64
 
@@ -237,40 +240,54 @@ def _pair(x: str, y: str) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _alike(x: str, y: str) -> Column:
+    """Sizes that allow the similarity."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
 def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, component) of the linked classes; None if there are no links."""
-    alike = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes that allow the similarity
     slots = classes.select("node", "n", F.explode("bands").alias("key"))
     # the centre differs from band to band: the least hash of (node, key)
     least = F.min(F.struct(F.xxhash64("node", "key").alias("x"), F.col("node").alias("c"), F.col("n").alias("nc")))
     centres = written(slots.groupBy("key").agg(F.count("*").alias("m"), least.alias("low")).where("m > 1").select("key", "m", "low.c", "low.nc"), "centres")
     members = written(slots.join(centres, "key"), "buckets")
     discard(centres)
-    tried = written(members.where((F.col("node") != F.col("c")) & alike("n", "nc")).select(*_pair("node", "c")).distinct(), "tried")
+    tried = written(members.where((F.col("node") != F.col("c")) & _alike("n", "nc")).select(*_pair("node", "c")).distinct(), "tried")
     named = classes.select("node", "rep.id", "rep.th")
     sets = _full_sets(docs, written(members.select("node").distinct().join(named, "node"), "wanted"))
     links = _confirmed(tried, sets)
     joined = written(components(links), "joined") if not is_empty(links) else None
+    for most in (TRIED_FIRST, None):
+        opened, small = _open(members, joined)
+        if most is not None:
+            # a set that links with some of a component's is settled by these; all of the others meet in the second pass
+            many = opened.groupBy("component").agg(F.ceil(F.count("*") / most).alias("parts"))
+            opened = opened.join(many, "component").where(F.pmod(F.xxhash64("node"), "parts") == 0).drop("parts")
+            pairs = _unsettled(opened, sets)
+        else:
+            pairs = _unsettled(opened, sets).unionAll(small)
+        rest = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        more = _confirmed(rest, sets)
+        tried, links = tried.unionAll(rest), links.unionAll(more)
+        if not is_empty(more):
+            joined = written(components(links), "joined")
+    return joined
+
+
+def _open(members: DataFrame, joined: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Of buckets that more than one component is in: the sets (node, n, component) of large ones, and the open pairs of small ones."""
     now = members.select("key", "m", "node", "n")
     if joined is not None:
         now = now.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     else:
         now = now.withColumn("component", F.col("node"))
     now = written(now, "placed")
-    discard(members)
     mixed = written(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
     left, right = (now.where(F.col("m") <= SMALL_BUCKET).join(mixed, "key").select("key", F.col("node").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "xy")
-    pairs = left.join(right, "key").where((F.col("cx") < F.col("cy")) & alike("nx", "ny")).select(*_pair("x", "y"))
+    small = left.join(right, "key").where((F.col("cx") < F.col("cy")) & _alike("nx", "ny")).select(*_pair("x", "y"))
     opened = written(now.where(F.col("m") > SMALL_BUCKET).join(mixed, "key").select("node", "n", "component").distinct(), "opened")
-    if not is_empty(opened):
-        pairs = pairs.unionAll(_unsettled(opened, sets))
-    rest = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    discard(now, mixed, opened)
-    if not is_empty(rest):
-        more = _confirmed(rest, sets)
-        if not is_empty(more):
-            joined = components(links.unionAll(more))
-    return joined
+    return opened, small
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
