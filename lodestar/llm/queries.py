@@ -64,8 +64,9 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, n_lines, n_removed."""
-    return line_spread.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed")
+    """Every document: doc_id, n_lines, n_removed, the lines that the text left by the operator lacks."""
+    cut = line_spread.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", (F.col("n_lines") - line_spread.line_count("text")).alias("n_removed"))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

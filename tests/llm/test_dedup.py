@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from lodestar.llm import line_spread, minhash, rabitq, suffix_dedup
+from lodestar.llm import line_spread, minhash, queries, rabitq, suffix_dedup
 from lodestar.llm.ivfpq import search
 
 
@@ -163,6 +165,37 @@ def test_line_spread(spark, odd_docs, no_docs):
     assert line_spread.drop_boilerplate(no_docs).count() == 0
 
 
+def spread_rows():
+    """Lines on five sites: two whose sketches are equal and one without a name; each space around them; a null id first."""
+    lines = [("All rights reserved", s) for s in ("", "site21346", "site3540", "a", "b")]
+    for i, space in enumerate(" \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000" + "\t\r\x0b\u0085\u200b\ufeff"):
+        lines += [(f"line {i}", s) for s in "abc"] + [(f"{space}line {i}{space}\n{space}", s) for s in "de"]
+    rows = [(i, f"own {i}\n{line}", site) for i, (line, site) in enumerate(lines)]
+    return [(None, "line 0\nAll rights reserved", "a"), *rows, (len(rows), "All rights reserved", None), (len(rows) + 1, "", "a")]
+
+
+def test_line_spread_against_its_sql(spark, tmp_path):
+    docs = spark.createDataFrame(spread_rows(), "doc_id bigint, text string, source string")
+    estimate = docs.where("doc_id < 5").selectExpr("hll_sketch_estimate(hll_sketch_agg(source, 12)) e").first()["e"]
+    assert estimate == 3, "five sites, of which the sketch sees three"
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op8_line_spread(spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(line_spread.SQL).fetchall()))
+
+
+def test_line_spread_query_counts_in_the_text_that_is_left(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([*spread_rows(), (1000, None, "a")], "doc_id bigint, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"])
+    want = sorted(line_spread.drop_boilerplate(docs).select("doc_id", "n_lines", "n_removed").collect(), key=key)
+    assert sorted(queries.op8_line_spread(spark, str(tmp_path)).collect(), key=key) == want
+    cut = line_spread.drop_boilerplate
+    monkeypatch.setattr(line_spread, "drop_boilerplate", lambda docs: cut(docs).withColumn("text", F.lit(None).cast("string")))
+    assert all(r["n_removed"] == r["n_lines"] for r in queries.op8_line_spread(spark, str(tmp_path)).collect())
+
+
 def vectors(seed, n=400, dim=16):
     rng = np.random.default_rng(seed)
     base = rng.standard_normal((n // 8, dim))
