@@ -15,18 +15,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import langid, line_spread, minhash, packing, suffix_dedup
-from lodestar.llm.common import Scope, discard, release, scope, table, written
+from lodestar.llm.common import Scope, bounded_batches, discard, release, scope, table, written
 from lodestar.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _earlier = Scope()
+#: Bytes of one Arrow batch here: executors run all stages in turn, and keep the heap that the largest one took.
+STAGE_BATCH_BYTES = 2 << 20
 
 
 def _stage(run: Stage) -> Stage:
     @wraps(run)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(_earlier, docs)
+        release(_earlier, bounded_batches(docs, STAGE_BATCH_BYTES))
         with scope() as held:
             out = run(spark, docs, sf_dir)
             held.keep_rest()

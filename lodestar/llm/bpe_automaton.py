@@ -257,7 +257,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared_encoder(tokenizer_path)
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), 4):
                 ids, ends = enc.encoder(texts)
                 rows = []
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):

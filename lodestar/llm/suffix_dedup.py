@@ -32,7 +32,8 @@ from .common import bounded_batches, claim, discard, scope, written
 
 LENGTH = 200
 K = 24
-SLICE_BYTES = 1 << 20
+#: Bytes of texts whose hashes are computed at once; the arrays take about a hundred times as much.
+SLICE_BYTES = 1 << 18
 #: Bytes of suffixes that a task sorts into one run, and that one range merges, about.
 RUN_BYTES, RANGE_BYTES = 32 << 20, 12 << 20
 #: Splitters that the driver holds, at most, and sampled keys for each. Beyond that a range is dealt further by a hash of its keys' K bytes.
@@ -56,8 +57,9 @@ def _powers(n: int, base: int) -> np.ndarray:
     return held[:n]
 
 
-def _claim() -> None:
-    claim("suffixes", _powers_of.clear)
+def _claim(phase: str) -> None:
+    """What one phase leaves in a worker goes as the next one starts."""
+    claim(f"suffixes: {phase}", _powers_of.clear)
 
 
 def gram_hashes(raw: np.ndarray, k: int = K) -> np.ndarray:
@@ -263,7 +265,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         kind = base.schema["d"].dataType.simpleString()
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _claim()
+            _claim("find")
             for batch in batches:
                 texts, at = batch.column(2).cast(pa.large_binary()), 0
                 sizes = texts.fill_null(b"")
@@ -304,7 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
         def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Rows of pieces of runs (range, run, blob), and rows of the runs' members (run, number, d, th, p)."""
-            _claim()
+            _claim("sort")
             task, turn, held, size = TaskContext.get().partitionId(), 0, [], 0
             cuts = [s[:k] for s in splitters]
 
@@ -331,17 +333,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                         a, b = (m + 1, b) if keys[m][:k] < s else (a, m)
                     edges.append(a)
                 edges.append(len(keys))
-                blobs = []
+                for i in range(0, len(members), 50_000):
+                    r, n, d, th, p = zip(*members[i : i + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()), pa.array(r, pa.int64()), pa.nulls(len(r), pa.binary()), pa.array(n, pa.int32()), pa.array(d, id_type), pa.array(th, pa.int64()), pa.array(p, pa.int64())], names=names)
+                members = []
                 for i, (a, b) in enumerate(zip(edges, edges[1:])):
                     dealt: dict[int, list[int]] = defaultdict(list)
                     for j in range(a, b):
                         dealt[zlib.crc32(keys[j][:k]) % parts if parts > 1 else 0].append(j)
-                    blobs += [(i * parts + x, run, Run.encode([keys[j] for j in own], [sizes[j] for j in own], [counts[j] for j in own], own)) for x, own in dealt.items()]
-                for i in range(0, len(members), 50_000):
-                    r, n, d, th, p = zip(*members[i : i + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()), pa.array(r, pa.int64()), pa.nulls(len(r), pa.binary()), pa.array(n, pa.int32()), pa.array(d, id_type), pa.array(th, pa.int64()), pa.array(p, pa.int64())], names=names)
-                for part, r, blob in blobs:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([r], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
+                    for x, own in dealt.items():
+                        blob = Run.encode([keys[j] for j in own], [sizes[j] for j in own], [counts[j] for j in own], own)
+                        yield pa.RecordBatch.from_arrays([pa.array([i * parts + x], pa.int64()), pa.array([run], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
 
             names = ["part", "run", "blob", "number", "d", "th", "p"]
             for batch in batches:
@@ -362,6 +364,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         runs = written(texts.mapInArrow(sort, f"part bigint, run bigint, blob binary, number int, d {kind}, th bigint, p bigint"), "runs")
 
         def compare(part: pd.DataFrame) -> pd.DataFrame:
+            _claim("compare")
             names = part["run"].tolist()
             out: list[tuple[int, int, int, int]] = []
             group: list[tuple[bytes, int, list[tuple[int, int]], int]] = []
@@ -394,7 +397,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return base, spans
 
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _chunks(texts: list[bytes], length: int):
@@ -426,6 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = rows.join(own, same, "left").select("_key", "_text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _claim("cut")
         for batch in batches:
             out = defaultdict(list)
             for text, spans_ in zip(batch.column(1), batch.column(2)):

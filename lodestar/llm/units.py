@@ -9,6 +9,7 @@ once per batch, and the ids gathered by numpy. Texts in which white space surrou
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +20,21 @@ from .common import claim
 #: Fixed value: the white space of Unicode, as RE2 writes it.
 SPACE = r"\x09-\x0d \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 UNSAFE = rf"[{SPACE}] (?:[{SPACE}]|$)|<\|endoftext\|>"
-SLICE_BYTES = 4 << 20
-CACHE_UNITS = 400_000
+#: Bytes of texts that are encoded at once. A worker's memory beside the cache is some tens of times as much.
+SLICE_BYTES = 1 << 20
+#: Units that a worker's cache holds at most; fewer where encoding is fast.
+CACHE_UNITS, LIBRARY_UNITS = 400_000, 200_000
 #: Units that the library encodes in one call; each starts with a space, so none changes the others' ids.
 JOINED = 500
 SPECIAL = "<|endoftext|>"
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """The texts in runs of about SLICE_BYTES, with the first one's index."""
+def slices(texts: pa.Array, times: int = 1) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in runs of about `times` SLICE_BYTES, with the first one's index."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(sizes), 0
     while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + times * SLICE_BYTES, "right")))
         yield at, texts.slice(at, stop - at)
         at = stop
 
@@ -53,8 +56,8 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """encode: a list of strings to the ids of each as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.cache = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_UNITS):
+        self.encode, self.most, self.cache = encode, most, {}
 
     def _known(self, keys: list[str]) -> list[bytes]:
         """The ids of each key as little-endian bytes."""
@@ -65,8 +68,7 @@ class UnitEncoder:
             made = self.encode(new)
             fresh = dict(zip(new, made))
             got = [fresh[k] if v is None else v for k, v in zip(keys, got)]
-            if len(cache) < CACHE_UNITS:
-                cache.update(fresh)
+            cache.update(islice(fresh.items(), self.most - len(cache)))
         return got
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ def library_encoder(path: str) -> UnitEncoder:
             out[i] = np.array(got.ids, "<u4").tobytes()
         return out
 
-    return UnitEncoder(encode)
+    return UnitEncoder(encode, LIBRARY_UNITS)
 
 
 _encoders: dict[str, UnitEncoder] = {}

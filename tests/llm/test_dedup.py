@@ -378,3 +378,15 @@ def test_ivfpq_odd_rows(spark):
     for q in (0, 100, 200):
         want = brute_nearest(vectors, ids, q)
         assert [(s, v) for _, s, v in sorted(got[q])] == [(s, v) for s, v in want] and [r for r, *_ in sorted(got[q])] == list(range(1, 11))
+
+
+def test_suffix_dedup_memory_of_hashes():
+    import tracemalloc
+
+    raw = np.random.default_rng(1).integers(97, 123, suffix_dedup.SLICE_BYTES).astype(np.uint8)
+    suffix_dedup._powers_of.clear()
+    tracemalloc.start()
+    suffix_dedup.anchors(raw, np.array([0]), np.array([len(raw)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20

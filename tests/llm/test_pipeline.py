@@ -37,3 +37,14 @@ def test_near_dedup_keeps_every_text_once(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in corpus_pipeline.near_dedup(spark, docs, "unused").collect())
     assert got == [(0, a), (1, a), (1, x), (4, ""), (5, "")]
+
+
+def test_stages_send_small_batches_to_python(spark, no_docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, no_docs, "unused")
+        assert int(spark.conf.get(key)) <= 2 << 20, name
+    if before is not None:
+        spark.conf.set(key, before)

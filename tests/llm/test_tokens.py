@@ -181,3 +181,34 @@ def test_long_texts_in_slices(tok, monkeypatch):
         ids, ends = encode(part)
         got += [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
     assert got == [ids_of(tok, t) for t in texts]
+
+
+def test_encoder_memory():
+    """Four MiB of texts without a repeated word: the slices and the cache stay small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestar.llm import units
+
+    words = iter(range(10**9))
+    texts = pa.array([" ".join(f"{next(words):x}" for _ in range(2000)) for _ in range(350)])
+    encode = units.UnitEncoder(lambda strings: [b"\0\0\0\0"] * len(strings))
+    tracemalloc.start()
+    for _, part in units.slices(texts):
+        encode(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    encode.cache.clear()
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_encoder_cache_limit():
+    import pyarrow as pa
+
+    from lodestar.llm import units
+
+    encode = library_encoder(tokenizer_path())
+    for k in range(2):
+        encode(pa.array([" ".join(f"{i:x}" for i in range(k * 250_000, (k + 1) * 250_000))]))
+    assert 100_000 < len(encode.cache) <= units.LIBRARY_UNITS <= 200_000
