@@ -46,69 +46,69 @@ def _fn(df: DataFrame) -> DataFrame:
   'FreeFn' AS kind, concat_ws(',', CASE WHEN p_size % 3 = 0 THEN 'doc' END, CASE WHEN p_brand = 'Brand#1' THEN 'inline' END) AS attrs, {_SIGNATURE} AS signature,
   'src/p' || p_partkey || '.rs' AS path FROM part""")
 def functions_all(spark, sf_dir):
-    f = corpus(spark, sf_dir, "parts").functions().df()
+    f = corpus(spark, sf_dir, "parts", relations=["functions"]).functions().df()
     flags = ["is_public", "has_docs", "is_async", "is_unsafe", "is_const", "is_generic"]
     return f.select("name", "fq_name", *flags, F.array_join("args", "|").alias("args"), "return_ty", F.col("kind.kind").alias("kind"), F.array_join("attrs", ",").alias("attrs"), "signature", F.col("location.path").alias("path"))
 
 
 @query(f"SELECT {_FN}, 'Result < ' || p_type || ' , E >' AS return_ty FROM part WHERE p_size % 2 = 0 AND p_type LIKE '%O%'")
 def public_api_returns(spark, sf_dir):
-    return corpus(spark, sf_dir, "parts").public_api().returns("O").df().select("fq_name", "return_ty")
+    return corpus(spark, sf_dir, "parts", relations=["functions"]).public_api().returns("O").df().select("fq_name", "return_ty")
 
 
 @query(f"SELECT {_FN} FROM part WHERE p_size % 2 = 0 AND p_size % 3 <> 0")
 def undocumented_public_api(spark, sf_dir):
-    return _fn(corpus(spark, sf_dir, "parts").undocumented_public_api().df())
+    return _fn(corpus(spark, sf_dir, "parts", relations=["functions"]).undocumented_public_api().df())
 
 
 @query(f"SELECT {_FN} FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 5 = 0")
 def fn_flags(spark, sf_dir):
-    return _fn(corpus(spark, sf_dir, "parts").functions().is_async(True).is_unsafe(False).is_const(False).is_generic(True).df())
+    return _fn(corpus(spark, sf_dir, "parts", relations=["functions"]).functions().is_async(True).is_unsafe(False).is_const(False).is_generic(True).df())
 
 
 @query(f"SELECT {_FN} FROM part WHERE 'part_' || p_partkey LIKE '%\\_1%' ESCAPE '\\'")
 def fn_name_contains(spark, sf_dir):
-    return _fn(corpus(spark, sf_dir, "parts").functions().named("_9").name_contains("_1").df())
+    return _fn(corpus(spark, sf_dir, "parts", relations=["functions"]).functions().named("_9").name_contains("_1").df())
 
 
 @query(f"SELECT {_FN} FROM part WHERE regexp_matches('part_' || p_partkey, '_[0-9]*7$')")
 def fn_name_regex(spark, sf_dir):
-    return _fn(corpus(spark, sf_dir, "parts").functions().name_matches(r"_\d*7$").df())
+    return _fn(corpus(spark, sf_dir, "parts", relations=["functions"]).functions().name_matches(r"_\d*7$").df())
 
 
 @query(f"SELECT {_FN} FROM part")
 def fn_takes_arg(spark, sf_dir):
-    return _fn(corpus(spark, sf_dir, "parts").functions().takes_arg("& str").df())
+    return _fn(corpus(spark, sf_dir, "parts", relations=["functions"]).functions().takes_arg("& str").df())
 
 
 @query(f"SELECT {_FN} FROM part WHERE p_brand = 'Brand#1'")
 def fn_has_attr(spark, sf_dir):
-    return _fn(corpus(spark, sf_dir, "parts").functions().has_attr("inline").df())
+    return _fn(corpus(spark, sf_dir, "parts", relations=["functions"]).functions().has_attr("inline").df())
 
 
 @query(f"SELECT {_FN} FROM part WHERE p_partkey % 8 = 2 AND p_size % 2 = 1")
 def fn_filter_column(spark, sf_dir):
-    return _fn(corpus(spark, sf_dir, "parts").functions().is_unsafe(True).filter(~F.col("is_public")))
+    return _fn(corpus(spark, sf_dir, "parts", relations=["functions"]).functions().is_unsafe(True).filter(~F.col("is_public")))
 
 
 @query("SELECT count(*) FILTER (WHERE p_size % 2 = 0) AS public_total, count(*) FILTER (WHERE p_size % 6 = 0) AS public_documented, count(*) FILTER (WHERE p_size % 6 = 0) * 100.0::DOUBLE / count(*) FILTER (WHERE p_size % 2 = 0) AS percent FROM part")
 def doc_coverage(spark, sf_dir):
-    return corpus(spark, sf_dir, "parts").doc_coverage()
+    return corpus(spark, sf_dir, "parts", relations=["functions"]).doc_coverage()
 
 
 @query("SELECT 'k::S' || s_nationkey || '::m' AS fq_name, TRUE AS is_public FROM supplier WHERE s_nationkey = 7")
 def impl_methods(spark, sf_dir):
-    return corpus(spark, sf_dir, "suppliers").functions().in_impl("S7").public_only().df().select("fq_name", "is_public")
+    return corpus(spark, sf_dir, "suppliers", relations=["functions"]).functions().in_impl("S7").public_only().df().select("fq_name", "is_public")
 
 
 @query("SELECT 'k::S' || s_nationkey || '::fmt' AS fq_name, FALSE AS is_public FROM supplier WHERE s_suppkey % 2 = 0")
 def impls_trait(spark, sf_dir):
-    return corpus(spark, sf_dir, "suppliers").functions().impls_trait("fmt::Display").df().select("fq_name", "is_public")
+    return corpus(spark, sf_dir, "suppliers", relations=["functions"]).functions().impls_trait("fmt::Display").df().select("fq_name", "is_public")
 
 
 @query("SELECT 'k::Tr' || s_nationkey || '::t' AS fq_name, TRUE AS is_public FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey = 4")
 def trait_methods(spark, sf_dir):
-    return corpus(spark, sf_dir, "suppliers").functions().in_trait("Tr4").df().select("fq_name", "is_public")
+    return corpus(spark, sf_dir, "suppliers", relations=["functions"]).functions().in_trait("Tr4").df().select("fq_name", "is_public")
 
 
 # -- imports
@@ -234,8 +234,8 @@ x AS (SELECT 'src/o' || l_orderkey || '.rs' AS path, 'k::order_' || l_orderkey A
 _CALL = "path, fn AS enclosing_fn, pub AS enclosing_public, callee"
 
 
-def _g3(spark, sf_dir):
-    return corpus(spark, sf_dir, "orders")
+def _g3(spark, sf_dir, *relations: str):
+    return corpus(spark, sf_dir, "orders", relations=list(relations))
 
 
 def _calls(df: DataFrame) -> DataFrame:
@@ -244,42 +244,42 @@ def _calls(df: DataFrame) -> DataFrame:
 
 @query(_G3 + f"SELECT {_CALL} FROM x WHERE callee = 'unwrap'")
 def calls_unwrap(spark, sf_dir):
-    return _calls(_g3(spark, sf_dir).finder().unwrap_calls())
+    return _calls(_g3(spark, sf_dir, "calls").finder().unwrap_calls())
 
 
 @query(_G3 + f"SELECT {_CALL} FROM x WHERE callee = 'expect'")
 def calls_expect(spark, sf_dir):
-    return _calls(_g3(spark, sf_dir).finder().expect_calls())
+    return _calls(_g3(spark, sf_dir, "calls").finder().expect_calls())
 
 
 @query(_G3 + f"SELECT {_CALL} FROM x WHERE callee LIKE '%fs :: read%'")
 def calls_contains(spark, sf_dir):
-    return _calls(_g3(spark, sf_dir).finder().calls_containing("fs :: read"))
+    return _calls(_g3(spark, sf_dir, "calls").finder().calls_containing("fs :: read"))
 
 
 @query(_G3 + "SELECT 'std::fs::read' AS occurrence, fn AS enclosing_fn, pub AS enclosing_public FROM x WHERE flag = 'R'")
 def paths_eq(spark, sf_dir):
-    return _g3(spark, sf_dir).finder().paths_eq("std::fs::read").select(F.col("path").alias("occurrence"), "enclosing_fn", "enclosing_public")
+    return _g3(spark, sf_dir, "paths").finder().paths_eq("std::fs::read").select(F.col("path").alias("occurrence"), "enclosing_fn", "enclosing_public")
 
 
 @query(_G3 + "SELECT 'panic' AS name, 'expr' AS position, fn AS enclosing_fn, pub AS enclosing_public FROM x WHERE flag = 'N'")
 def macro_invocations(spark, sf_dir):
-    return _g3(spark, sf_dir).finder().macros("panic").select("name", "position", "enclosing_fn", "enclosing_public")
+    return _g3(spark, sf_dir, "macros_inv").finder().macros("panic").select("name", "position", "enclosing_fn", "enclosing_public")
 
 
 @query("SELECT DISTINCT 'm' || o_orderkey AS name, 'src/o' || o_orderkey || '.rs' AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def macro_defs(spark, sf_dir):
-    return _g3(spark, sf_dir).macros_def.select("name", F.col("location.path").alias("path"))
+    return _g3(spark, sf_dir, "macros_def").macros_def.select("name", F.col("location.path").alias("path"))
 
 
 @query(_G3 + "SELECT 'std::fs::read' AS occurrence, path FROM x WHERE flag = 'R' UNION ALL SELECT 'q', path FROM x WHERE flag = 'A' UNION ALL SELECT 'x', path FROM x WHERE flag = 'R' UNION ALL SELECT 'panic', path FROM x WHERE flag = 'N' UNION ALL SELECT 'macro_rules', path FROM x WHERE rn = 1")
 def paths_v1(spark, sf_dir):
-    return _g3(spark, sf_dir).paths_v1().select(F.col("path").alias("occurrence"), F.col("location.path").alias("path"))
+    return _g3(spark, sf_dir, "paths").paths_v1().select(F.col("path").alias("occurrence"), F.col("location.path").alias("path"))
 
 
 @query(_G3 + "SELECT path, CAST(2 + rn AS BIGINT) AS line, CAST(2 AS BIGINT) AS col, callee, fn AS enclosing_fq, pub AS enclosing_is_public FROM x WHERE callee IS NOT NULL")
 def enclosing_fn(spark, sf_dir):
-    k = corpus(spark, sf_dir, "orders", span_locations=True)
+    k = corpus(spark, sf_dir, "orders", span_locations=True, relations=["calls", "fn_spans"])
     at = k.calls.select(F.col("location.path").alias("path"), F.col("location.line").alias("line"), F.col("location.column").alias("column"), "callee")
     found = containment.enclosing(at, k.fn_spans, key=["path", "line", "column"])
     return found.select("path", "line", F.col("column").alias("col"), "callee", "enclosing_fq", "enclosing_is_public")
@@ -287,7 +287,7 @@ def enclosing_fn(spark, sf_dir):
 
 @query(_G3 + "SELECT fn AS fq_name, max(pub) AS is_public, CAST(2 AS BIGINT) AS start_line, CAST(0 AS BIGINT) AS start_col, CAST(3 + max(rn) AS BIGINT) AS end_line, CAST(1 AS BIGINT) AS end_col FROM x GROUP BY fn")
 def fn_spans(spark, sf_dir):
-    return corpus(spark, sf_dir, "orders", span_locations=True).fn_spans.select("fq_name", "is_public", "start_line", "start_col", "end_line", "end_col")
+    return corpus(spark, sf_dir, "orders", span_locations=True, relations=["fn_spans"]).fn_spans.select("fq_name", "is_public", "start_line", "start_col", "end_line", "end_col")
 
 
 # -- use sites
@@ -301,7 +301,7 @@ def _sites(df: DataFrame) -> DataFrame:
 
 def _two(spark, sf_dir) -> DataFrame:
     deps = ["std", "serde-json"]
-    return _g2(spark, sf_dir).dep_use_sites(deps).unionByName(_g3(spark, sf_dir).dep_use_sites(deps))
+    return _g2(spark, sf_dir).dep_use_sites(deps).unionByName(_g3(spark, sf_dir, "imports", "paths", "macros_inv").dep_use_sites(deps))
 
 
 _TWO = _G2 + ", " + _G3.replace("WITH ", "", 1) + f", s AS ({_SITES_G2} WHERE root IN ('std', 'serde_json') UNION ALL SELECT 'std', 'std::fs::read', 'fs', 'Path', fn FROM x WHERE flag = 'R')\n"
@@ -338,8 +338,12 @@ def _findings(df: DataFrame) -> DataFrame:
     return df.select("severity", "code", "message", F.col("location.path").alias("path"), "extra")
 
 
+def _all(spark, sf_dir, *relations: str):
+    return corpus(spark, sf_dir, "all", relations=list(relations))
+
+
 def _default(spark, sf_dir) -> DataFrame:
-    return corpus(spark, sf_dir, "all").rules().with_default_rules().run()
+    return _all(spark, sf_dir, "functions", "imports", "macros_inv", "paths", "calls").rules().with_default_rules().run()
 
 
 @query(_G3 + " UNION ALL ".join([_API001, _API001_ORDERS, _API002, _API003, _API004]))
@@ -351,28 +355,28 @@ def findings_default(spark, sf_dir):
 def findings_api001(spark, sf_dir):
     from ..operators.rules import UndocumentedPublicApi
 
-    return _findings(corpus(spark, sf_dir, "all").rules().add_rule(UndocumentedPublicApi()).run())
+    return _findings(_all(spark, sf_dir, "functions").rules().add_rule(UndocumentedPublicApi()).run())
 
 
 @query(_G3 + _API002)
 def findings_api002(spark, sf_dir):
     from ..operators.rules import UnwrapInPublicApi
 
-    return _findings(corpus(spark, sf_dir, "all").rules().add_rule(UnwrapInPublicApi()).run())
+    return _findings(_all(spark, sf_dir, "calls").rules().add_rule(UnwrapInPublicApi()).run())
 
 
 @query(_G3 + _API003)
 def findings_api003(spark, sf_dir):
     from ..operators.rules import PanicMacrosInPublicApi
 
-    return _findings(corpus(spark, sf_dir, "all").rules().add_rule(PanicMacrosInPublicApi()).run())
+    return _findings(_all(spark, sf_dir, "macros_inv").rules().add_rule(PanicMacrosInPublicApi()).run())
 
 
 @query(_G3 + _API004)
 def findings_api004(spark, sf_dir):
     from ..operators.rules import StdInNoStdCrate
 
-    return _findings(corpus(spark, sf_dir, "all").rules().add_rule(StdInNoStdCrate()).run())
+    return _findings(_all(spark, sf_dir, "imports", "paths").rules().add_rule(StdInNoStdCrate()).run())
 
 
 @query("SELECT TRUE AS no_std FROM nation LIMIT 1")
@@ -398,9 +402,13 @@ j AS (SELECT coalesce(n.k, o.k) AS k, o.sig AS old, n.sig AS new FROM n FULL JOI
 """
 
 
+def _compared(spark, sf_dir, name: str):
+    return corpus(spark, sf_dir, name, relations=["functions", "exports", "imports"])
+
+
 def _diff(spark, sf_dir, entity: str) -> DataFrame:
-    old: Snapshot = corpus(spark, sf_dir, "old").snapshot()
-    return corpus(spark, sf_dir, "new").diff_snapshot(old).where(F.col("entity") == entity).drop("entity")
+    old: Snapshot = _compared(spark, sf_dir, "old").snapshot()
+    return _compared(spark, sf_dir, "new").diff_snapshot(old).where(F.col("entity") == entity).drop("entity")
 
 
 @query(_G4 + "SELECT CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change, 'k::part_' || k AS key, old, new FROM j WHERE old IS DISTINCT FROM new")
@@ -423,7 +431,7 @@ def diff_imports(spark, sf_dir):
 
 @query("SELECT 'k::part_' || p_partkey AS fq_name, 'fn part_' || p_partkey || ' (n : u8)' AS signature FROM part WHERE p_partkey % 7 <> 0")
 def snapshot_functions(spark, sf_dir):
-    return corpus(spark, sf_dir, "old").snapshot().functions.select("fq_name", "signature")
+    return _compared(spark, sf_dir, "old").snapshot().functions.select("fq_name", "signature")
 
 
 # -- listings
@@ -469,7 +477,7 @@ _G6 = "WITH f AS (SELECT s_suppkey AS k, 'k::f_' || s_suppkey AS scope, 'src/gen
 
 @query("SELECT 'k::part_' || p_partkey AS fq_name FROM part WHERE p_partkey % 5 <> 0 AND p_size > 25")
 def fn_takes_some_arg(spark, sf_dir):
-    return _fn(corpus(spark, sf_dir, "new").functions().takes_arg("u16").df())
+    return _fn(corpus(spark, sf_dir, "new", relations=["functions"]).functions().takes_arg("u16").df())
 
 
 @query("SELECT 'src/n' || n_nationkey || '.rs' AS path, n_nationkey = 0 AS no_std FROM nation")
@@ -479,7 +487,7 @@ def no_std_files(spark, sf_dir):
 
 @query("SELECT FALSE AS no_std FROM part LIMIT 1")
 def corpus_with_std(spark, sf_dir):
-    return corpus(spark, sf_dir, "parts").no_std()
+    return corpus(spark, sf_dir, "parts", relations=[]).no_std()
 
 
 @query(_G6 + """SELECT 'std' AS dep, 'std::println' AS path, 'println' AS head, u.kind AS kind, scope FROM f, (VALUES ('Path'), ('MacroCall')) u(kind) WHERE k % 2 = 0
@@ -501,16 +509,16 @@ def imports_members(spark, sf_dir):
 @query(_G4 + "SELECT CASE WHEN old IS NULL THEN 'added' ELSE 'changed' END AS change, 'k::part_' || k AS key, old, new FROM j WHERE new IS NOT NULL AND old IS DISTINCT FROM new")
 def diff_last_wins(spark, sf_dir):
     """Names that occur twice count by their last function; so nothing is removed."""
-    old: Snapshot = corpus(spark, sf_dir, "old").snapshot()
-    return corpus(spark, sf_dir, "both").diff_snapshot(old).where("entity = 'function'").drop("entity")
+    old: Snapshot = _compared(spark, sf_dir, "old").snapshot()
+    return _compared(spark, sf_dir, "both").diff_snapshot(old).where("entity = 'function'").drop("entity")
 
 
 @query(_G4 + "SELECT 'removed' AS change, 'e' || k AS key, 'ext::e' || k AS old, CAST(NULL AS VARCHAR) AS new FROM j, (VALUES (1), (2)) u(x) WHERE new IS NULL")
 def diff_repeated_exports(spark, sf_dir):
     """Exports keep their repeats: each old one that is gone counts."""
-    once: Snapshot = corpus(spark, sf_dir, "old").snapshot()
+    once: Snapshot = _compared(spark, sf_dir, "old").snapshot()
     twice = Snapshot(once.crate, once.no_std, once.functions, once.exports.unionAll(once.exports), once.imports)
-    return corpus(spark, sf_dir, "new").diff_snapshot(twice).where("entity = 'export' AND change = 'removed'").drop("entity")
+    return _compared(spark, sf_dir, "new").diff_snapshot(twice).where("entity = 'export' AND change = 'removed'").drop("entity")
 
 
 @query(_G6 + "SELECT printf('%-4s %-7s %-31s  %s', 'Warn', 'API001', 'src/generated/macros/supplie...', 'public function missing docs: ' || scope) AS line FROM f")
