@@ -300,8 +300,8 @@ def _sites(df: DataFrame) -> DataFrame:
 
 
 def _two(spark, sf_dir) -> DataFrame:
-    deps = ["std", "serde-json"]
-    return _g2(spark, sf_dir).dep_use_sites(deps).unionByName(_g3(spark, sf_dir, "imports", "paths", "macros_inv").dep_use_sites(deps))
+    deps, read = ["std", "serde-json"], ["imports", "paths", "macros_inv"]
+    return corpus(spark, sf_dir, "customers", relations=read).dep_use_sites(deps).unionByName(_g3(spark, sf_dir, *read).dep_use_sites(deps))
 
 
 _TWO = _G2 + ", " + _G3.replace("WITH ", "", 1) + f", s AS ({_SITES_G2} WHERE root IN ('std', 'serde_json') UNION ALL SELECT 'std', 'std::fs::read', 'fs', 'Path', fn FROM x WHERE flag = 'R')\n"

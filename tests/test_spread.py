@@ -39,3 +39,16 @@ def test_the_no_std_flag_is_no_broadcast(spark, capsys):
     assert sorted(r["message"] for r in found.collect()) == ["std import in no_std crate: std::io", "std path in no_std crate: std::fs::read"]
     with_std = Corpus.from_sources(files.where("file_ord = 1"), "k")
     assert with_std.rules().add_rule(StdInNoStdCrate()).run().count() == 0
+
+
+def test_the_imports_of_few_files_are_few_tasks(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in the plan of a kept corpus
+    try:
+        files = synth.imports_files(spark, SF)
+        assert files.count() == 25 and files.rdd.getNumPartitions() <= 25
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
